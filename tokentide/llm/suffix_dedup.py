@@ -7,7 +7,9 @@ anchor. There, arriving batches become sorted arrays of (anchor, context), each
 levels so far, the places that aren't first are reported, and levels of equal size merge geometrically.
 
 Equal contexts settle all their strings at once. Contexts that share an anchor but differ (at the edges of a copied
-passage) are contested: their strings are hashed one by one and go through a second index in the same way.
+passage) may still have strings in common. A common string holds the anchor's piece and one of four cores: 0, 20, 40 or
+60 bytes before the piece and what is missing to 60 behind it. Contexts that share a core with another are contested:
+their strings are hashed one by one and go through a second index in the same way.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tokentide.llm.common import LAST, materialise
 
-SPAN, PIECE = 100, 20
+SPAN, PIECE, CORE = 100, 20, 80
 #: Strings of one document whose anchors are found at once; bytes of small documents taken together.
 BLOCK = 1 << 20
 #: Rows that a reading task holds before it hands them on without their copies; rows in a batch of the index.
@@ -30,31 +32,36 @@ HELD, BATCH = 1 << 18, 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BYTE_HASH = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Contested documents, and stretches in them, up to which they are broadcast; beyond, the texts are shuffled to them.
+FEW = 1 << 20
 MARK, ENTRY, CONTESTED = 0, 1, 2
-SCHEMA = pa.schema([("kind", pa.int8()), ("k1", pa.int64()), ("k2", pa.int64()), ("d", pa.int64()), ("p", pa.int32()), ("n", pa.int32())])
-SPARK_SCHEMA = "kind tinyint, k1 long, k2 long, d long, p int, n int"
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # k1, k2, d, p, n
+SCHEMA = pa.schema([("kind", pa.int8()), ("k1", pa.int32()), ("k2", pa.int64()), ("d", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("c", pa.int64())])
+SPARK_SCHEMA = "kind tinyint, k1 int, k2 long, d long, p int, n int, c long"
+Rows = tuple[np.ndarray, ...]  # k1, k2, d, p, n, c
 
 
-def piece_hashes(b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all PIECE-byte pieces, by doubling."""
+def piece_hashes(b: np.ndarray, widths: tuple[int, ...] = (PIECE, CORE)) -> list[np.ndarray]:
+    """64-bit hashes of all strings of each width, by doubling."""
     h, width, power = BYTE_HASH[b], 1, np.array(ODD)
     kept = {1: (h, power)}
-    while width * 2 <= PIECE:
+    while width * 2 <= min(max(widths), len(b)):
         h = h[:-width] * power + h[width:]
         width, power = width * 2, np.multiply(power, power, dtype=np.uint64)
         kept[width] = h, power
-    whole, at = kept[width][0], width
-    for w in sorted(kept, reverse=True):
-        if PIECE - at >= w:
-            tail, power = kept[w]
-            n = len(whole) - w
-            whole = whole[:n] * power + tail[at : at + n]
-            at += w
-    whole ^= whole >> np.uint64(29)
-    whole *= MIX
-    whole ^= whole >> np.uint64(32)
-    return whole
+    found = []
+    for goal in widths:
+        whole, at = None, 0
+        for w in sorted(kept, reverse=True):
+            if goal - at >= w:
+                h, power = kept[w]
+                n = max(0, len(b) - at - w + 1)
+                whole = h.copy() if whole is None else whole[:n] * power + h[at : at + n]
+                at += w
+        whole ^= whole >> np.uint64(29)
+        whole *= MIX
+        whole ^= whole >> np.uint64(32)
+        found.append(whole)
+    return found
 
 
 def anchors(b: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -80,10 +87,10 @@ def contexts(docs: list[tuple[int, int, bytes]]) -> Rows:
     counts = np.maximum(lengths - SPAN + 1, 0)
     total = int(counts.sum())
     if not total:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))  # type: ignore[return-value]
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     owner = np.repeat(np.arange(len(docs)), counts)
     place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
-    hashes = piece_hashes(b)
+    hashes, cores = piece_hashes(b)
     anchor = anchors(b, hashes)[place]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
     n = np.diff(np.append(first, total))
@@ -92,19 +99,25 @@ def contexts(docs: list[tuple[int, int, bytes]]) -> Rows:
     own = owner[first]
     order = np.array([d for d, _, _ in docs], np.int64)
     offset = np.array([o for _, o, _ in docs], np.int64)
-    return hashes[anchor[first]].view(np.int64), k2, order[own], start - begin[own] + offset[own], n
+    end = start + n + SPAN - 1
+    c = np.zeros(len(first), np.uint64)
+    for i in range(4):  # 16 bits for each core that lies within the context, 0 for none
+        at = anchor[first] - i * PIECE
+        inside = (at >= start) & (at + CORE <= end)
+        c |= np.where(inside, (cores[np.where(inside, at, 0)] >> np.uint64(48)) | np.uint64(1), np.uint64(0)) << np.uint64(16 * i)
+    k1 = (hashes[anchor[first]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return k1.astype(np.int64), k2, order[own], start - begin[own] + offset[own], n, c.view(np.int64)
 
 
 def firsts(rows: Rows) -> tuple[Rows, np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of (k1, k2) with the first place of each, and d, p, n of the places after it."""
-    k1, k2, d, p, n = rows
-    order = np.lexsort((p, d, k2, k1))
-    k1, k2, d, p, n = (x[order] for x in rows)
+    order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+    k1, k2, d, p, n, c = (x[order] for x in rows)
     new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(k1) else np.zeros(0, bool)
     # a row that repeats a place is the same place, not a later one
     place = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))
     later = ~new & ((d != d[place]) | (p != p[place]))
-    return (k1[new], k2[new], d[new], p[new], n[new]), d[later], p[later], n[later]
+    return tuple(x[new] for x in (k1, k2, d, p, n, c)), d[later], p[later], n[later]
 
 
 def runs(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,13 +133,14 @@ def runs(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nd
     return d[at], p[at], np.maximum.reduceat(p + n, at) - p[at]
 
 
-def batch_of(kind: int, d: np.ndarray, p: np.ndarray, n: np.ndarray, k1: np.ndarray | None = None, k2: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def batch_of(kind: int, d: np.ndarray, p: np.ndarray, n: np.ndarray, k1: np.ndarray | None = None, k2: np.ndarray | None = None, c: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches; what has no key of its own is dealt out by its document."""
-    k1 = (d.astype(np.uint64) * ODD + p.astype(np.uint64) * MIX).view(np.int64) if k1 is None else k1
+    k1 = ((d.astype(np.uint64) * ODD + p.astype(np.uint64) * MIX) >> np.uint64(33)).view(np.int64) if k1 is None else k1
     k2 = np.zeros(len(d), np.int64) if k2 is None else k2
+    c = np.zeros(len(d), np.int64) if c is None else c
     for at in range(0, len(d), BATCH):
         s = slice(at, at + BATCH)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d[s]), kind, np.int8)), pa.array(k1[s]), pa.array(k2[s]), pa.array(d[s]), pa.array(p[s].astype(np.int32)), pa.array(n[s].astype(np.int32))], schema=SCHEMA)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d[s]), kind, np.int8)), pa.array(k1[s].astype(np.int32)), pa.array(k2[s]), pa.array(d[s]), pa.array(p[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(c[s])], schema=SCHEMA)
 
 
 def handed_on(parts: list[Rows]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +148,8 @@ def handed_on(parts: list[Rows]) -> Iterator[pa.RecordBatch]:
     rows = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     kept, d, p, n = firsts(rows)  # type: ignore[arg-type]
     yield from batch_of(MARK, *runs(d, p, n))
-    yield from batch_of(ENTRY, *kept[2:], *kept[:2])
+    k1, k2, d, p, n, c = kept
+    yield from batch_of(ENTRY, d, p, n, k1, k2, c)
 
 
 def held_back(found: Iterable[Rows]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +183,7 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An entry for each contested string, by a 128-bit hash."""
+    """An entry for each contested string, by 96 bits of hash."""
 
     def found() -> Iterator[Rows]:
         digest = xxhash.xxh3_128_digest
@@ -180,7 +195,7 @@ def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s, n = one[at : at + 4096].T
                     p = np.repeat(s, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     keys = np.frombuffer(b"".join([digest(view[i : i + SPAN]) for i in p.tolist()]), "<i8").reshape(-1, 2)
-                    yield keys[:, 0].copy(), keys[:, 1].copy(), np.full(len(p), d, np.int64), p, np.ones(len(p), np.int64)
+                    yield keys[:, 0].astype(np.int32).astype(np.int64), keys[:, 1].copy(), np.full(len(p), d, np.int64), p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64)
 
     yield from held_back(found())
 
@@ -204,7 +219,7 @@ class LevelFamily:
             if not met.any():
                 continue
             a = at[met]
-            mine, theirs = tuple(x[met] for x in batch[2:]), tuple(x[a] for x in level[2:])
+            mine, theirs = tuple(x[met] for x in batch[2:5]), tuple(x[a] for x in level[2:5])
             same = (mine[0] == theirs[0]) & (mine[1] == theirs[1])
             earlier = (mine[0] < theirs[0]) | (mine[0] == theirs[0]) & (mine[1] < theirs[1])
             late.append(tuple(np.where(earlier, y, x)[~same] for x, y in zip(mine, theirs, strict=True)))  # type: ignore[arg-type]
@@ -230,12 +245,17 @@ class LevelFamily:
         return tuple(x[order] for x in rows)  # type: ignore[return-value]
 
     def contested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """d, p, n of first places whose anchor has other contexts."""
+        """d, p, n of first places that share a core with another context of their anchor."""
         if not self.levels:
             return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
-        k1, _, d, p, n = self.merged(self.levels)
-        same = k1[1:] == k1[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        k1, _, d, p, n, c = self.merged(self.levels)
+        shared = np.zeros(len(k1), bool)
+        for i in range(4):
+            core = (c.view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)
+            has = np.flatnonzero(core)
+            key = (k1[has].astype(np.uint64) << np.uint64(16)) | core[has]
+            _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+            shared[has] |= times[at] > 1
         return d[shared], p[shared], n[shared]
 
 
@@ -251,10 +271,10 @@ def _index(batches: Iterable[pa.RecordBatch], contest: bool) -> Iterator[pa.Reco
 
     for b in batches:
         kind = b.column(0).to_numpy(zero_copy_only=False)
-        columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 6)]
+        columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 7)]
         mark = kind == MARK
         if mark.any():
-            yield from batch_of(MARK, *(x[mark] for x in columns[2:]))
+            yield from batch_of(MARK, *(x[mark] for x in columns[2:5]))
         if not mark.all():
             held.append(tuple(x[~mark] for x in columns))  # type: ignore[arg-type]
         if sum(len(x[0]) for x in held) >= BATCH:
@@ -307,6 +327,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     settled = materialise(indexed(source.select("d", "body").mapInArrow(work, SPARK_SCHEMA), True))
     spans = lambda df: df.groupBy("d").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
     contested = materialise(spans(settled.where(F.col("kind") == CONTESTED)))
+    few = contested.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
+    if few[0] <= FEW and (few[1] or 0) <= FEW:  # 16 bytes a row and a stretch at most
+        contested = F.broadcast(contested)
     strings = source.select("d", "body").join(contested, "d").select("d", "body", "spans").mapInArrow(_strings, SPARK_SCHEMA)
     later = indexed(strings, False)
     marks = materialise(spans(settled.where(F.col("kind") == MARK).unionByName(later)))
