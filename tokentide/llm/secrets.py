@@ -29,8 +29,9 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature|akia", re.IGNORECASE)
 #: Code points before a candidate that are searched for such a word, and on either side that prime the dictionary.
 NEAR, AROUND = 48, 512
-#: Marginal compressed bytes for each character from which a candidate counts as new. Random base-64 needs 0.75, hex 0.5.
-NOVEL_RATE = 0.45
+#: Marginal compressed bytes for each character from which a candidate counts as new. Short random strings are stored as
+#: they are (about 1), long random base-64 needs 0.75; what the dictionary knows needs less than 0.5.
+NOVEL_RATE = 0.7
 #: What code commonly says around secrets; it primes every dictionary.
 IDENTIFIERS = (
     "access_key_id secret_access_key client_id client_secret api_key apikey auth_token bearer_token refresh_token session_token "
