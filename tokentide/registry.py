@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tokentide.plans import call_queries
+from tokentide.plans.book import QUERIES, SQL, Query
+
+ENTRY_DATA = "/root/testdata/sf0.001"
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.range(1)
+    """The training view: one row per call with everything known at that moment, and its returns."""
+    return call_queries.training_view(spark, ENTRY_DATA)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
