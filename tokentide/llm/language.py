@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokentide.llm.common import materialise
+
 #: Language codes of each family. A code that isn't listed is in the family "other".
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
@@ -138,9 +140,12 @@ def learn(docs: DataFrame, learn_from: int = LEARN_FROM, key: str = "doc_id", te
     text or language, or without a letter, aren't learned from.
     """
     usable = docs.where(~is_held_out(key) & F.col(lang).isNotNull() & (F.col(lang) != UNDETERMINED))
-    share = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.least(F.lit(1.0), F.lit(float(learn_from)) / F.col("n")) * (1 << 20))
+    counts = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
+    share = materialise(counts.select(lang, (F.least(F.lit(1.0), F.lit(float(learn_from)) / F.col("n")) * (1 << 20)).alias("upto")))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20))
-    rows = usable.join(share.select(lang, "upto"), lang).where(draw < F.col("upto")).where(F.col(text).rlike(r"\p{L}")).select(key, text, lang)
+    chosen = materialise(usable.select(key, lang).join(share, lang).where(draw < F.col("upto")).select(key).distinct())
+    texts = usable.select(key, text, lang).join(F.broadcast(chosen), key)  # about learn_from keys for each language
+    rows = texts.where(F.col(text).rlike(r"\p{L}")).select(key, text, lang)
     sample = sorted(rows.collect(), key=lambda r: (r[lang], r[key]))
     return LanguageModel([r[text] for r in sample], [r[lang] for r in sample])
 
