@@ -71,6 +71,20 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     return docs.select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text).mapInArrow(work, out)
 
 
+def measured_rows(docs: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
+    """All columns of docs with `_stratum` and COUNTS, each after an underscore: the rows stay where they are."""
+    prepared = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    out = T.StructType([*prepared.schema.fields, *[T.StructField(f"_{c}", T.LongType()) for c in COUNTS]])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [measure(x.as_py()) for x in b.column(b.schema.get_field_index(text))]
+            counts = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*b.columns, *counts], [f.name for f in out])
+
+    return prepared.mapInArrow(work, out)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -115,6 +129,29 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", risk: f
     return long.groupBy("stratum").applyInPandas(lambda t: choose_cutoffs(t, risk, error), "stratum string, rule string, cutoff double")
 
 
+def _by_stratum(chosen: DataFrame) -> DataFrame:
+    return chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+
+
+def _above() -> Column:
+    above = F.lit(False)
+    for r, rate in rates().items():
+        above = above | F.coalesce(rate > F.col(f"cut_{r}"), F.lit(False))
+    return above
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """The rows that judge() keeps, with the columns of docs. Texts are measured where they lie and never shuffled.
+
+    A stratum has cutoffs only where its labels prove them, so their table has a row for each well-labelled stratum.
+    """
+    measured = materialise(measures(docs, key, text, stratum))
+    by_stratum = materialise(_by_stratum(cutoffs(measured, labels.select(key, "quality"), key, risk, error)))
+    rows = measured_rows(docs, text, stratum).withColumnsRenamed({f"_{c}": c for c in COUNTS})
+    joined = rows.join(by_stratum.withColumnRenamed("stratum", "_cut_stratum"), F.col("_stratum") == F.col("_cut_stratum"), "left")
+    return joined.where(~base_failed() & ~_above()).select(*docs.columns)
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """key, COUNTS, base_failed and kept of every row.
 
@@ -123,10 +160,6 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows without a key are never labelled; extra columns are ignored.
     """
     measured = materialise(measures(docs, key, text, stratum))
-    chosen = materialise(cutoffs(measured, labels.select(key, "quality"), key, risk, error))
-    by_stratum = chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    by_stratum = materialise(_by_stratum(cutoffs(measured, labels.select(key, "quality"), key, risk, error)))
     joined = measured.join(by_stratum, "stratum", "left")
-    above = F.lit(False)
-    for r, rate in rates().items():
-        above = above | F.coalesce(rate > F.col(f"cut_{r}"), F.lit(False))
-    return joined.select(key, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~above).alias("kept"))
+    return joined.select(key, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~_above()).alias("kept"))
