@@ -120,7 +120,7 @@ def test_streaming_candles_equal_batch(spark, tmp_path):
 
 def test_streamed_posts_come_once(spark, tmp_path):
     rows = [(1, 1, "x", 0), (1, 1, "x", 60), (1, 2, "x", 0), (1, 1, "y", 0)]
-    df = spark.createDataFrame(rows, "channel_id long, message_id long, address_key string, s long").select("channel_id", "message_id", "address_key", F.timestamp_seconds("s").alias("message_date"))
+    df = spark.createDataFrame(rows, "channel_id long, message_id long, address_key string, s long").select("channel_id", "message_id", "address_key", F.timestamp_seconds(F.col("s") + 1704067200).alias("message_date"))  # the first watermark is 1970
     df.write.parquet(f"{tmp_path}/in")
     q = live.new_posts(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("posts_out").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start()
     q.awaitTermination()

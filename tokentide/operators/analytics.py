@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tokentide.functions.expressions import BANDS, band, outcome
 
-ALL = Window.partitionBy(F.lit(0))
-
-
 def group_stats(rows: DataFrame, keys: list, value: str = "return_pct") -> DataFrame:
     v = F.col(value)
     return rows.groupBy(*keys).agg(
@@ -24,8 +21,9 @@ def equal_count_groups(rows: DataFrame, column: str, k: int, own_zero: float = 0
     Bounds come from the counts of distinct values.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("all", F.sum("n").over(ALL))
-    counts = counts.withColumn("zero", F.max((F.col("v") == 0) & (F.col("n") >= own_zero * F.col("all"))).over(ALL) & (F.col("v") == 0))
+    every = Window.partitionBy(F.lit(0))  # over distinct values
+    counts = counts.withColumn("all", F.sum("n").over(every))
+    counts = counts.withColumn("zero", F.max((F.col("v") == 0) & (F.col("n") >= own_zero * F.col("all"))).over(every) & (F.col("v") == 0))
     w = Window.partitionBy("zero").orderBy("v")
     counts = counts.withColumns({"upto": F.sum("n").over(w), "m": F.sum("n").over(Window.partitionBy("zero"))})
     first = F.col("upto") - F.col("n") + 1  # place of the value's first row
