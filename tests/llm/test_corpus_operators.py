@@ -274,6 +274,8 @@ def test_cutoffs_hold_the_bound():
 
     assert quality.binomial_tail(0, 100, 0.05) == pytest.approx(0.95**100)
     assert quality.binomial_tail(3, 10, 0.5) == pytest.approx(176 / 1024)
+    assert quality.binomial_tail(2, 400, 0.006) == pytest.approx(0.5693945222068971)
+    assert quality.binomial_tail(20_000, 1_000_000, 0.006) == pytest.approx(1.0)  # far above the mean: nothing is proven
     rows = pd.DataFrame({"stratum": "en", "rule": "symbols_per_word", "cutoff": [3.0, 1.0, 0.1], "n": 5000, "rejected": [0, 4, 60], "tests": 40})
     assert list(quality.choose_cutoffs(rows)["cutoff"]) == [1.0]
 

@@ -101,12 +101,18 @@ def rates() -> dict[str, Column]:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(at most k of n), each with probability p: exact, summed from the largest term in logarithms."""
+    """P(at most k of n), each with probability p: all terms of either tail, outwards until they no longer count."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 4000), k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    below = k < n * p  # else the other tail is summed, whose terms fall as well
+    i, step = (k, -1) if below else (k + 1, 1)
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while 0 <= i <= n and term > total * 1e-17:
+        total += term
+        term *= i * (1 - p) / ((n - i + 1) * p) if below else (n - i) * p / ((i + 1) * (1 - p))
+        i += step
+    return min(1.0, total) if below else max(0.0, 1.0 - total)
 
 
 def choose_cutoffs(tallies: pd.DataFrame, risk: float = RISK, error: float = ERROR) -> pd.DataFrame:
