@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +58,12 @@ def merge_feeds(env: DataFrame, stored: DataFrame) -> DataFrame:
     """asset -> feed from two maps: the environment wins, differing entries are flagged."""
     a, b = env.select("asset", F.col("feed").alias("env_feed")), stored.select("asset", F.col("feed").alias("stored_feed"))
     return a.join(b, "asset", "full_outer").select("asset", F.coalesce("env_feed", "stored_feed").alias("feed"), F.coalesce(F.col("env_feed") != F.col("stored_feed"), F.lit(False)).alias("conflict"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared scratch folder, for rows that a query reads more than once."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-")
+    path = f"{folder.rstrip('/')}/tokentide-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
