@@ -98,6 +98,15 @@ def test_secret_novelty_tells_key_material_from_names():
     assert not find(f"a plain word {random_key} today")
 
 
+def test_secret_novelty_after_equals_signs():
+    novelty = secrets.Novelty()
+    key = "q9Xv2LmPz7RtKw4YbN8sUc1JhGf5Da3E"
+    found = lambda t: [t[s:e] for s, _, e in secrets.novel_spans(t, secrets.base_spans(t), novelty)]
+    for text in (f"STRIPE_KEY={key}", f"private={key} ", f"GET /a?signature={key}&x=1", f"credential = {key}"):
+        assert found(text) == [key]
+    assert found(f"AUTH={key}==") == [f"{key}=="] and found(f"AUTH={key}=x") == [key]
+
+
 def test_sharding_is_exact_and_repeats(docs, texts, empty):
     rows = sharding.shard_report(sharding.shard_documents(docs, shards=5)).collect()
     counts = Counter(r["shard"] for r in rows)

@@ -23,8 +23,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A string that may be key material: 20 to 512 characters of one alphabet, with a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])")
+#: A string that may be key material: 20 to 512 characters of one alphabet, with a digit; `=` only pads it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Words that make the text before a candidate sensitive.
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature|akia", re.IGNORECASE)
 #: Code points before a candidate that are searched for such a word, and on either side that prime the dictionary.
