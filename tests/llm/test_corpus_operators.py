@@ -107,6 +107,15 @@ def test_secret_novelty_after_equals_signs():
     assert found(f"AUTH={key}==") == [f"{key}=="] and found(f"AUTH={key}=x") == [key]
 
 
+def test_secret_novelty_of_long_strings():
+    novelty, rng = secrets.Novelty(), random.Random(5)
+    for n in (512, 513, 600, 1700, 20_000):
+        key = "7" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n - 1))
+        text = f"the private_key {key} and more"
+        assert secrets.novel_spans(text, secrets.base_spans(text), novelty) == [(16, 3, 16 + n)]
+    assert not secrets.novel_spans(f"the private_key {'example_test_1' * 100} and more", [], novelty)
+
+
 def test_sharding_is_exact_and_repeats(docs, texts, empty):
     rows = sharding.shard_report(sharding.shard_documents(docs, shards=5)).collect()
     counts = Counter(r["shard"] for r in rows)

@@ -8,6 +8,7 @@ random key material costs close to its entropy. Candidates that stay incompressi
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A string that may be key material: 20 to 512 characters of one alphabet, with a digit; `=` only pads it.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_-])(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: A string that may be key material: a whole run of 20 or more characters of one alphabet, with a digit; `=` only pads it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Words that make the text before a candidate sensitive.
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature|akia", re.IGNORECASE)
 #: Code points before a candidate that are searched for such a word, and on either side that prime the dictionary.
@@ -70,15 +71,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, rate: float = NOVEL_RATE) -> list[tuple[int, int, int]]:
     """Incompressible candidates in a sensitive context that no fixed pattern covers."""
     found = []
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + NEAR + 512)):
-            s, e = m.span()
-            if s - word.end() > NEAR:
-                break
-            if e == word.end() + NEAR + 512 and e < len(text) or any(a < e and s < b for a, _, b in base) or any(a < e and s < b for a, _, b in found):
-                continue
-            if novelty.marginal(m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= rate * (e - s):
-                found.append((s, 3, e))
+    ends = [word.end() for word in SENSITIVE.finditer(text)]
+    for m in CANDIDATE.finditer(text, ends[0]) if ends else ():
+        s, e = m.span()
+        if s - ends[bisect_right(ends, s) - 1] > NEAR or any(a < e and s < b for a, _, b in base):
+            continue
+        if novelty.marginal(m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= rate * (e - s):
+            found.append((s, 3, e))
     return found
 
 
