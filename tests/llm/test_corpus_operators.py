@@ -197,6 +197,38 @@ def test_line_dedup(docs, texts, spark, least, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def maximal_lines_brute(texts, least):
+    """Every stretch of lines with a word that occurs at an earlier start and holds enough words goes."""
+    seen, out = set(), []
+    for t in texts:
+        lines = (t or "").split("\n")
+        spoken = [i for i, x in enumerate(lines) if WORD.search(x)]
+        cut = set()
+        for a in range(len(spoken)):
+            runs = [tuple(lines[i] for i in spoken[a:b]) for b in range(a + 1, len(spoken) + 1)]
+            for b, run in enumerate(runs, a):
+                if run in seen and sum(len(WORD.findall(x)) for x in run) >= least:
+                    cut.update(range(spoken[a], spoken[b] + 1))
+            seen.update(runs)
+        out.append((None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in cut), len(cut)))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 4, 10])
+def test_line_dedup_of_whole_runs(docs, texts, spark, least):
+    rng = random.Random(least)
+    pool = [words(rng, k) for k in (1, 1, 2, 3, 5, 6, 6, 12)] + ["", " "]
+    passages = [f"{pool[7]}\n{pool[3]}", f"{pool[5]}\n{pool[6]}\n\n{pool[0]}"]
+    more = texts + ["\n".join(rng.choices(pool, k=rng.randint(1, 25))) for _ in range(40)]
+    more += [f"{words(rng, 7)}\n{p}\n{words(rng, 8)}" for p in passages for _ in range(3)]
+    table = spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4) for i, t in enumerate(more)], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_words=least, whole=True).collect()}
+    want = maximal_lines_brute(more, least)
+    assert least == 1 or want != lines_brute(more, least)
+    for i, (text, n) in enumerate(want):
+        assert (got[i]["kept_text"], got[i]["n_removed"]) == (text, n), i
+
+
 def test_exact_dedup(docs, texts, empty):
     got = {r["doc_id"]: r for r in exact_dedup.exact_duplicates(docs).collect()}
     groups = {}

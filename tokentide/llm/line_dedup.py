@@ -4,8 +4,11 @@ The suffixes are those that start at a line with a word. A line's first rank is
 doubling step ranks 2h lines by the pair of ranks of h lines, again by first occurrence, so suffixes with one rank form
 one interval of the suffix array in which the longest common prefix is at least the length ranked. Lines that occur once
 end every repeated run and are left out at the start. A suffix counts up to the least number of lines that hold
-`min_words` words: where the interval of that depth has an earlier suffix, those lines repeat an earlier run. The union
-of such stretches are the maximal repeated runs; they are deleted everywhere but at their first occurrence.
+`min_words` words: where the interval of that depth has an earlier suffix, those lines repeat an earlier run. With
+`whole`, a suffix found repeated counts at greater depths as well, as long as the lines behind its first hold less than
+`min_words` words (with more, the next suffix says the same), so short lines at the end of a run belong to it; depth two
+always counts, for lines without a word between the first and the next. The union
+of such stretches then are the maximal repeated runs; they are deleted everywhere but at their first occurrence.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def _ranked(rows: DataFrame, key: list[Column], rank: str) -> DataFrame:
     return rows.select("*", *named).join(firsts, [f"_k{n}" for n in range(len(key))], "left").drop(*[f"_k{n}" for n in range(len(key))])
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """d, t and runs (start, end in lines of the text, end exclusive) of the documents that lose lines."""
     lines = F.filter(
         F.transform(F.split(F.col(text), "\n"), lambda x, n: F.struct(n.alias("ln"), x.alias("line"))),
@@ -49,8 +52,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         F.when((F.sum("words").over(suffix.rowsBetween(0, n - 1)) >= min_words) & ahead("ln", n - 1).isNotNull(), F.struct(F.lit(n).alias("depth"), (ahead("ln", n - 1) + 1).alias("end")))
         for n in range(1, min_words + 1)
     ]
-    rows = materialise(rows.withColumn("need", F.coalesce(*enough)))
-    deepest = rows.agg(F.max("need.depth")).first()[0]
+    rows = rows.withColumn("need", F.coalesce(*enough))
+    #: Which depths count depends on the lines alone, so that all suffixes of an interval are there.
+    short = lambda n: F.lit(True) if n == 2 else F.sum("words").over(suffix.rowsBetween(1, n - 1)) < min_words
+    beyond = [
+        F.when(short(n) & (F.col("need.depth") < n) & ahead("ln", n - 1).isNotNull(), F.struct(F.lit(n).alias("depth"), (ahead("ln", n - 1) + 1).alias("end")))
+        for n in range(2, max(min_words, 2) + 1)
+    ]
+    more = F.filter(F.array(*beyond), lambda x: x.isNotNull()) if whole else F.array().cast("array<struct<depth:int,end:int>>")
+    rows = materialise(rows.withColumn("more", more))
+    deepest = rows.agg(F.greatest(F.max("need.depth"), F.max(F.array_max("more.depth")))).first()[0]
     if deepest is None:
         deepest = 1
     step = 0
@@ -59,14 +70,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
         rows = materialise(_ranked(paired, [F.col(f"rank{step}"), F.col("_next")], f"rank{step + 1}").drop("_next"))
         step += 1
 
-    depth = F.col("need.depth")
-    head, tail = F.lit(None), F.lit(None)
+    levels = []
     for n in range(1, deepest + 1):
         k = n.bit_length() - 1
-        head = F.when(depth == n, F.col(f"rank{k}")).otherwise(head)
-        tail = F.when(depth == n, ahead(f"rank{k}", n - (1 << k))).otherwise(tail)
-    found = rows.withColumns({"depth": depth, "end": F.col("need.end"), "head": head, "tail": tail}).select(*PLACE, "ln", "end", "depth", "head", "tail")
-    found = _ranked(materialise(found.where(F.col("depth").isNotNull())), [F.col("depth"), F.col("head"), F.col("tail")], "first")
+        end = F.when(F.col("need.depth") == n, F.col("need.end")).otherwise(F.get("more.end", F.array_position("more.depth", n).cast("int") - 1))
+        levels.append(F.struct(F.lit(n).alias("depth"), end.alias("end"), F.col(f"rank{k}").alias("head"), ahead(f"rank{k}", n - (1 << k)).alias("tail")))
+    known = F.filter(F.array(*levels), lambda x: x["end"].isNotNull() & x["head"].isNotNull() & x["tail"].isNotNull())
+    found = rows.select(*PLACE, "ln", known.alias("levels")).select(*PLACE, "ln", F.explode("levels").alias("level")).select(*PLACE, "ln", "level.*")
+    found = _ranked(materialise(found), [F.col("depth"), F.col("head"), F.col("tail")], "first")
     spans = found.where(F.col("first").isNotNull() & (F.col("first") != F.struct(*PLACE))).select("d", "t", F.col("ln").alias("start"), "end")
 
     in_order = Window.partitionBy("d", "t").orderBy("start", "end")
@@ -76,15 +87,16 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     return merged.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """All columns of docs with kept_text, n_lines, n_removed and n_runs.
 
     First occurrence: smallest doc_id (a missing one last), then first line. Lines without a word belong to a run only
-    between its lines. A null text stays null and has no lines; a text whose lines all go becomes empty. Rows that share
-    doc_id and text count as one and get one result. An empty table gives an empty result.
+    between its lines. Without `whole`, runs end where they hold min_words words. A null text stays null and has no lines;
+    a text whose lines all go becomes empty. Rows that share doc_id and text count as one and get one result. An empty
+    table gives an empty result.
     """
     kept_names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "n_runs", "d", "t", "runs")]
-    runs = materialise(repeated_runs(docs, min_words, key, text))
+    runs = materialise(repeated_runs(docs, min_words, key, text, whole))
     keyed = docs.select(*kept_names).withColumns({"d": order_id(key), "t": F.xxhash64(text)}).join(runs, ["d", "t"], "left")
     lines = F.split(F.col(text), "\n")
     n = F.size(lines)
