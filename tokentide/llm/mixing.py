@@ -40,24 +40,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 11, key: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 11, key: str = "doc_id", order: tuple[str, ...] = ()) -> DataFrame:
     """Every document with size, source_size, target, copies (how often the mix takes it) and taken (words, repeats counted).
 
     A null text has size 0. A null source is a source, the last one. A source without words has target 0 and gives no
-    copies. Rows that agree in key and size share places in either order. Reruns agree. Extra columns are ignored.
+    copies. Rows that agree in key and size share places in the order of the columns `order`, which the result carries, or
+    in either order; rows without a key lie at random by the first of them. Reruns agree. Other columns are ignored.
     """
-    slim = materialise(docs.select(F.col(key), F.col("source"), word_count(F.col("text")).alias("size")))
+    slim = materialise(docs.select(F.col(key), *order, F.col("source"), word_count(F.col("text")).alias("size")))
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     targets = materialise(targets.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
 
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(*[F.col(c).cast("string") for c in (key, *order[:1])], F.lit("null"))))
     bits = F.length(F.bin("size"))
     placed = slim.withColumns({"digest": digest, "bits": bits, "top": F.expr("shiftright(size, greatest(0, length(bin(size)) - 4))"), "salt": F.substring(digest, 1, 1)})
     group = ["source", "bits", "top", "salt"]
     groups = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     groups = groups.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bits", "top", "salt")) - F.col("n"))
     named = lambda df, names: df.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in df.columns])
-    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("digest", key)))
+    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("digest", key, *order)))
     same = F.lit(True)
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -66,4 +67,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     start = (F.conv(F.substring(F.md5(F.concat(F.lit(f"offset:{seed}:"), F.coalesce("source", F.lit("null")))), 1, 2), 16, 10).cast("double") + 0.5) / 256
     rank = F.col("before") + F.col("at")
     copies = F.floor(start + rank * F.col("share")) - F.floor(start + (rank - 1) * F.col("share"))
-    return placed.select(key, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return placed.select(key, *order, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
