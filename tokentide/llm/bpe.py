@@ -3,8 +3,9 @@
 The merge list decides how far ahead a token can depend on what follows: a merge (u, v) may be prevented only by an
 earlier merge whose left part is a suffix of v, and so on along a chain of ever earlier merges. The longest such chain
 is the sufficient lookahead: a token that ends that many symbols before the end of what has been read is stable and can
-be emitted. Words up to the window are merged at once; longer ones pass through a window of fixed size, so the working
-memory does not depend on the text. Decoding feeds token bytes to an incremental UTF-8 state machine.
+be emitted. Every word passes through a window of fixed size, so the working memory does not depend on the text; a word
+that ends within its first window is stable as a whole. Encoding keeps ids only. Decoding reads nothing but ids: a state
+machine takes them in pieces and gives out the text as it goes, holding no more than one unfinished character.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import codecs
 import json
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,6 +29,8 @@ from tokentide.llm.common import in_pieces
 
 #: Characters of a text that are normalised and split at once, up to the next white space.
 SLICE = 1 << 16
+#: Ids that the decoder takes at once.
+PIECE = 1 << 14
 #: Words kept with their tokens by each Python worker; all are forgotten when there are more.
 CACHED = 300_000
 
@@ -69,7 +73,7 @@ class Transducer:
         self.bytes_of = {c: b for b, c in enumerate(self.symbols)}
         self.lookahead = self.sufficient_lookahead(pairs)
         self.window = 2 * self.lookahead + 64
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
     @staticmethod
@@ -124,39 +128,33 @@ class Transducer:
                 yield token
             held = held[used:]
 
-    def word(self, word: str) -> Iterable[str]:
-        if len(word) * 4 <= self.window:
-            if word.isascii() and word.isprintable():
-                parts = [*word]
-            else:
-                parts = [self.symbols[b] for b in word.encode()]
-            parts[-1] += END
-            return self.merge(parts)
+    def word(self, word: str) -> Iterator[str]:
+        """Tokens of one word, through the window."""
+        if word.isascii() and word.isprintable():
+            return self.stream(word)
         step, symbols = self.window, self.symbols
         return self.stream(symbols[b] for i in range(0, len(word), step) for b in word[i : i + step].encode())
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Packed ids and joined tokens of one piece of the splitting rule."""
+    def piece(self, piece: str) -> bytes:
+        """Packed ids of one piece of the splitting rule."""
         found = self.cache.get(piece)
         if found is None:
-            tokens = [*self.word(piece)]
-            found = self.packers[len(tokens)](*[self.ids[t] for t in tokens]) if len(tokens) < len(self.packers) else struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens)), " ".join(tokens)
+            ids = [self.ids[t] for t in self.word(piece)]
+            found = self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
                 if len(self.cache) >= CACHED:
                     self.cache.clear()
                 self.cache[piece] = found
         return found
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and joined tokens of text without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Packed ids of text without white space."""
         if chunk.isalpha():
             return self.piece(chunk)
         if chunk[:-1].isalpha() and chunk[-1] in ",.!?;:":
-            (i, t), (j, u) = self.piece(chunk[:-1]), self.piece(chunk[-1])
-            return i + j, f"{t} {u}"
+            return self.piece(chunk[:-1]) + self.piece(chunk[-1])
         pieces = PIECES if BEYOND_LATIN.search(chunk) else LATIN_PIECES
-        parts = [self.piece(m[0]) for m in pieces.finditer(chunk)]
-        return b"".join([i for i, _ in parts]), " ".join([t for _, t in parts])
+        return b"".join([self.piece(m[0]) for m in pieces.finditer(chunk)])
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -174,44 +172,75 @@ class Transducer:
             yield text[start:end]
             start = end
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the tokens joined by spaces (what decoding without a decoder gives)."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         ids: list[bytes] = []
-        tokens: list[str] = []
         text = text or ""
         parts = self.special_split.split(text) if self.special_split and "<|" in text else [text]
         chunk, cache = self.chunk, self.cache
         for part in parts:
             if part in self.special:
                 ids.append(struct.pack("<I", self.special[part]))
-                tokens.append(part)
                 continue
             for piece in self.slices(part):
                 piece = self.normalise(piece)
                 chunks = SPACE.split(piece) if ODD_SPACE.search(piece) else piece.split()
-                for c in chunks:
-                    i, t = cache.get(c) or chunk(c)
-                    if t:
-                        ids.append(i)
-                        tokens.append(t)
-        return b"".join(ids), " ".join(tokens)
-
-    def decode_joined(self, ids: Iterable[int]) -> str:
+                ids.extend([cache.get(c) or chunk(c) for c in chunks])
+        return b"".join(ids)
+
+    def decoder(self) -> Decoder:
+        return Decoder(self)
+
+    def decode_joined(self, ids: bytes) -> str:
         """The tokens joined by spaces: what a tokenizer file without a decoder decodes to. Unknown ids are left out."""
-        return " ".join(t for t in map(self.tokens.get, ids) if t is not None)
-
-    def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Plain text, piece by piece: token bytes through an incremental UTF-8 state machine, word ends as spaces."""
-        machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        for i in ids:
-            token = self.tokens.get(i, "")
-            if token in self.special:
-                yield machine.decode(token.encode())
+        machine = self.decoder()
+        return "".join([machine.joined(ids[at : at + 4 * PIECE]) for at in range(0, len(ids), 4 * PIECE)])
+
+    def decode_text(self, ids: bytes) -> Iterator[str]:
+        """Plain text, piece by piece: word ends as spaces."""
+        machine = self.decoder()
+        for at in range(0, len(ids), 4 * PIECE):
+            yield machine.plain(ids[at : at + 4 * PIECE])
+        yield machine.rest()
+
+
+class Decoder:
+    """Text from packed ids that arrive in pieces (of whole ids): a state machine that holds what isn't complete yet.
+
+    `joined` has one state: whether a token came before, so that a space goes between. `plain` has the bytes of a
+    character that isn't complete: token bytes go through an incremental UTF-8 machine.
+    """
+
+    def __init__(self, owner: Transducer) -> None:
+        self.owner = owner
+        self.begun = False
+        self.machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
+
+    def joined(self, ids: bytes) -> str:
+        numbers = memoryview(ids).cast("I") if sys.byteorder == "little" else [i for (i,) in struct.iter_unpack("<I", ids)]
+        try:
+            tokens = [*map(self.owner.tokens.__getitem__, numbers)]
+        except KeyError:
+            tokens = [t for t in map(self.owner.tokens.get, numbers) if t is not None]
+        if not tokens:
+            return ""
+        lead, self.begun = " " if self.begun else "", True
+        return lead + " ".join(tokens)
+
+    def plain(self, ids: bytes) -> str:
+        out = []
+        for (i,) in struct.iter_unpack("<I", ids):
+            token = self.owner.tokens.get(i, "")
+            if token in self.owner.special:
+                out.append(self.machine.decode(token.encode()))
                 continue
             ends = token.endswith(END)
-            raw = bytes(self.bytes_of[c] for c in (token[: -len(END)] if ends else token))
-            yield machine.decode(raw + b" " if ends else raw)
-        yield machine.decode(b"", final=True)
+            raw = bytes(map(self.owner.bytes_of.__getitem__, token[: -len(END)] if ends else token))
+            out.append(self.machine.decode(raw + b" " if ends else raw))
+        return "".join(out)
+
+    def rest(self) -> str:
+        return self.machine.decode(b"", final=True)
 
 
 @lru_cache(maxsize=2)
@@ -219,21 +248,28 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (binary: little-endian unsigned 32-bit integers) and decoded (tokens joined by spaces) of each whole text.
+def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decode: bool = False) -> DataFrame:
+    """key and ids (binary: little-endian unsigned 32-bit integers) of each whole text.
 
-    A null or empty text has no ids. Repeated rows are each encoded; a null key stays null; other columns are ignored.
-    Each row needs memory for its own text and ids only.
+    With decode=True also `decoded`: what the ids, and nothing else, decode to, tokens joined by spaces; it is made in
+    the task that made the ids, so they don't travel twice. A null or empty text has no ids. Repeated rows are each
+    encoded; a null key stays null; other columns are ignored. Each row needs memory for its own text and ids only.
     """
-    out = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.BinaryType())]
+    fields += [T.StructField("decoded", T.StringType())] if decode else []
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
+
+        def row(k: pa.Scalar, x: pa.Scalar) -> tuple:
+            ids = t.encode(x.as_py())
+            return (k.as_py(), ids, t.decode_joined(ids)) if decode else (k.as_py(), ids)
+
         for b in batches:
-            schema = pa.schema([(key, b.schema.field(0).type), ("ids", pa.binary()), ("decoded", pa.string())])
-            yield from in_pieces(((k.as_py(), *t.encode(x.as_py())) for k, x in zip(b.column(0), b.column(1), strict=True)), schema, weigh=2)
+            schema = pa.schema([(key, b.schema.field(0).type), ("ids", pa.binary()), *([("decoded", pa.string())] if decode else [])])
+            yield from in_pieces((row(k, x) for k, x in zip(b.column(0), b.column(1), strict=True)), schema, weigh=1)
 
-    return docs.select(key, text).mapInArrow(work, out)
+    return docs.select(key, text).mapInArrow(work, T.StructType(fields))
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", key: str = "doc_id", joined: bool = False) -> DataFrame:
@@ -244,19 +280,14 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", key: str =
         t = transducer(path)
         for b in batches:
             schema = pa.schema([(key, b.schema.field(0).type), ("text", pa.string())])
-
-            def rows(b: pa.RecordBatch = b) -> Iterator[tuple]:
-                for k, x in zip(b.column(0), b.column(1), strict=True):
-                    numbers = (i for (i,) in struct.iter_unpack("<I", x.as_py() or b""))
-                    yield k.as_py(), t.decode_joined(numbers) if joined else "".join(t.decode_text(numbers)).rstrip(" ")
-
-            yield from in_pieces(rows(), schema, weigh=1)
+            packed = ((k.as_py(), x.as_py() or b"") for k, x in zip(b.column(0), b.column(1), strict=True))
+            yield from in_pieces(((k, t.decode_joined(x) if joined else "".join(t.decode_text(x)).rstrip(" ")) for k, x in packed), schema, weigh=1)
 
     return encoded.select(key, ids).mapInArrow(work, out)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Number of tokens and digests of ids and decoded text."""
+    """Number of tokens and digests of ids and of the text decoded from them."""
     return encoded.select(
         key,
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

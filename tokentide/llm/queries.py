@@ -19,7 +19,7 @@ def word_tokenizer() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), word_tokenizer()))
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), word_tokenizer(), decode=True))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
