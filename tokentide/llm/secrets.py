@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and dictionary-primed zstandard novelty.
 
-A candidate (a long unbroken string in a sensitive context) is compressed with a dictionary made of common identifiers
-and of the code around it. What it still costs is its marginal size: text that the dictionary explains costs little,
-random key material costs close to its entropy. Candidates that stay incompressible are reported with kind `novel`.
+A candidate (an unbroken string of any length from LEAST on, in a sensitive context on either side) is compressed with a
+dictionary made of common identifiers and of the code around it. What it still costs is its marginal size: text that the
+dictionary explains costs little, random key material costs close to its entropy. Candidates that stay incompressible
+are reported with kind `novel`. Words compress no better than keys when they are short, so strings that read as words
+(long parts of one kind of character, as in `getUserName` or `release-notes`) are no candidates.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,11 +26,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A string that may be key material: a whole run of 20 or more characters of one alphabet, with a digit; `=` only pads it.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-#: Words that make the text before a candidate sensitive.
+#: A string that may be key material: a whole run of one alphabet; `=` only pads it.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{10,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Parts of a name: words (a capital may lead), capitals, digits.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Characters that a candidate has at least; from LONG on, any string with a digit is one.
+LEAST, LONG = 10, 20
+#: Mean length of the parts up to which a string doesn't read as words, and length of a part beyond which it is no word.
+MEAN_PART, LONGEST_PART = 3.0, 24
+#: Words that make the text around a candidate sensitive.
 SENSITIVE = re.compile(r"key|secret|token|passw|credential|auth|bearer|private|signature|akia", re.IGNORECASE)
-#: Code points before a candidate that are searched for such a word, and on either side that prime the dictionary.
+#: Code points on either side of a candidate that are searched for such a word, and that prime the dictionary.
 NEAR, AROUND = 48, 512
 #: Marginal compressed bytes for each character from which a candidate counts as new. Short random strings are stored as
 #: they are (about 1), long random base-64 needs 0.75; what the dictionary knows needs less than 0.5.
@@ -68,13 +76,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def may_be_key(s: str) -> bool:
+    """Whether a string's shape is that of key material and not of words or dates."""
+    parts = PARTS.findall(s)
+    if not parts:
+        return False
+    digits = any(p.isdigit() for p in parts)
+    if len(s) >= LONG and digits:
+        return True
+    mean = sum(map(len, parts)) / len(parts)
+    if len(s) >= LONG:
+        return mean <= MEAN_PART or max(map(len, parts)) > LONGEST_PART
+    return digits and mean <= MEAN_PART and not all(p.isdigit() for p in parts)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, rate: float = NOVEL_RATE) -> list[tuple[int, int, int]]:
-    """Incompressible candidates in a sensitive context that no fixed pattern covers."""
+    """Incompressible candidates in a sensitive context that no fixed pattern covers; time is linear in the text."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    covered: list[tuple[int, int]] = []  # base spans, by start, merged where they overlap
+    for a, _, b in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1] = covered[-1][0], max(b, covered[-1][1])
+        else:
+            covered.append((a, b))
+    cover_starts = [a for a, _ in covered]
     found = []
-    ends = [word.end() for word in SENSITIVE.finditer(text)]
-    for m in CANDIDATE.finditer(text, ends[0]) if ends else ():
+    for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if s - ends[bisect_right(ends, s) - 1] > NEAR or any(a < e and s < b for a, _, b in base):
+        before, after = bisect_right(ends, s) - 1, bisect_left(starts, e)
+        near = (before >= 0 and s - ends[before] <= NEAR) or (after < len(starts) and starts[after] - e <= NEAR)
+        if not near or not may_be_key(m[0]):
+            continue
+        at = bisect_left(cover_starts, e) - 1
+        if at >= 0 and covered[at][1] > s:
             continue
         if novelty.marginal(m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= rate * (e - s):
             found.append((s, 3, e))
@@ -85,6 +122,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rate:
     """key and spans (kind, start, end in code points, end exclusive) of each whole text, by start, then kind.
 
     A null or empty text has no spans. Repeated rows are scanned each; a null key stays null; other columns are ignored.
+    Texts are scanned whole, in linear time; a task holds one batch of them and its spans.
     """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     out = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("spans", T.ArrayType(span))])
