@@ -450,20 +450,53 @@ def removed_brute(texts):
 def test_suffix_dedup(docs, texts, empty, monkeypatch):
     want = removed_brute(texts)
     assert any(n for _, n, _, _ in want)
-    for few in (suffix_dedup.FEW, 0):  # by broadcast and by shuffle
+    for few in (suffix_dedup.FEW, -1):  # by broadcast and by shuffle
         monkeypatch.setattr(suffix_dedup, "FEW", few)
         got = {r["doc_id"]: r for r in suffix_dedup.removal_digest(suffix_dedup.dedup_substrings(docs)).collect()}
         assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in (got[i * 3] for i in range(len(texts)))] == want
     assert suffix_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_suffix_dedup_of_missing_and_repeated_ids(spark):
+    """One id with two texts, repeated rows, missing ids, string ids: nothing unique goes, later copies do."""
+    rng = random.Random(15)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, b + c), (None, c), (None, words(rng, 60)), (None, None), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in suffix_dedup.removal_digest(suffix_dedup.dedup_substrings(table.repartition(3))).collect())
+    size = lambda x: len((x or "").encode())
+    want = [(0, size(a), 0), (1, size(a), size(a)), (1, size(b), 0), (1, size(b), 0), (2, size(b + c), size(b)), (None, size(c), size(c)), (None, size(rows[6][1]), 0), (None, 0, 0), (3, 0, 0)]
+    assert got == sorted((str(k), n, m) for k, n, m in want)
+    named = table.selectExpr("concat('doc ', doc_id) AS doc_id", "text", "1 AS d", "2 AS t", "3 AS spans")
+    got = suffix_dedup.removal_digest(suffix_dedup.dedup_substrings(named)).collect()
+    assert {r["doc_id"] for r in got} == {"doc 0", "doc 1", "doc 2", "doc 3", None}
+    # ordered by a hash: either document of b may be the first; the two equal rows are one document
+    assert sum(r["n_removed"] for r in got) in {size(a) + times * size(b) + size(c) + k for k in (-1, 0, 1) for times in (1, 2)}
+    small = table.selectExpr("CAST(doc_id AS SMALLINT) AS doc_id", "text")
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in suffix_dedup.removal_digest(suffix_dedup.dedup_substrings(small)).collect()) == sorted((str(k), m) for k, _, m in want)
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 64])
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch, crowd):
+    """A frequent phrase in many different documents, some of them copied: the same result whatever counts as hot."""
+    rng = random.Random(16)
+    phrase = words(rng, 14)
+    texts = [f"{words(rng, rng.randint(5, 30))} {phrase} {words(rng, rng.randint(5, 30))}" for _ in range(150)]
+    texts += [f"{words(rng, 3)} {t[:-20]}" for t in rng.sample(texts, 40)] + rng.sample(texts, 20)
+    rng.shuffle(texts)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: r for r in suffix_dedup.removal_digest(suffix_dedup.dedup_substrings(table)).collect()}
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in (got[i] for i in range(len(texts)))] == removed_brute(texts)
+
+
 def test_level_family_finds_first_places_in_any_order():
     rng = np.random.default_rng(6)
     family, n = suffix_dedup.LevelFamily(), 3000
-    k1, k2, d, p = rng.integers(0, 40, n), rng.integers(0, 5, n), rng.integers(0, 50, n), np.arange(n)
-    late = [family.add(tuple(x[at : at + 100] for x in (k1, k2, d, p, np.ones(n, np.int64), np.zeros(n, np.int64)))) for at in range(0, n, 100)]
+    k1, k2, d, t, p = rng.integers(0, 40, n), rng.integers(0, 5, n), rng.integers(0, 50, n), rng.integers(0, 2, n), np.arange(n)
+    late = [family.add(tuple(x[at : at + 100] for x in (k1, k2, d, t, p, np.ones(n, np.int64), np.zeros(n, np.int64)))) for at in range(0, n, 100)]
     first = {}
-    for row in zip(k1, k2, d, p, strict=True):
+    for row in zip(k1, k2, d, t, p, strict=True):
         first[row[:2]] = min(first.get(row[:2], row[2:]), row[2:])
-    assert {int(x) for _, q, _ in late for x in q} == set(range(n)) - {int(v[1]) for v in first.values()}
+    assert {int(x) for _, _, q, _ in late for x in q} == set(range(n)) - {int(v[2]) for v in first.values()}
     assert len(family.levels) < 12

@@ -10,6 +10,13 @@ Equal contexts settle all their strings at once. Contexts that share an anchor b
 passage) may still have strings in common. A common string holds the anchor's piece and one of four cores: 0, 20, 40 or
 60 bytes before the piece and what is missing to 60 behind it. Contexts that share a core with another are contested:
 their strings are hashed one by one and go through a second index in the same way.
+
+An anchor can be hot: a frequent phrase in thousands of otherwise different contexts. A reading task that meets more than
+CROWD contexts of one anchor hands them on as contested at once, dealt out by document, and tells the anchor's owner, who
+then holds all its contexts of that anchor to be contested too. So an owner gets CROWD contexts from a task at most, and
+nothing is lost: contested strings are compared each.
+
+A document is known by its key and a hash of its text, so rows that share a key but not the text stay apart.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokentide.llm.common import LAST, materialise
 
@@ -32,12 +40,16 @@ HELD, BATCH = 1 << 18, 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BYTE_HASH = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Contested documents, and stretches in them, up to which they are broadcast; beyond, the texts are shuffled to them.
-FEW = 1 << 20
-MARK, ENTRY, CONTESTED = 0, 1, 2
-SCHEMA = pa.schema([("kind", pa.int8()), ("k1", pa.int32()), ("k2", pa.int64()), ("d", pa.int64()), ("p", pa.int32()), ("n", pa.int32()), ("c", pa.int64())])
-SPARK_SCHEMA = "kind tinyint, k1 int, k2 long, d long, p int, n int, c long"
-Rows = tuple[np.ndarray, ...]  # k1, k2, d, p, n, c
+#: Bytes of contested stretches up to which they are broadcast (a document's row and a stretch count as below); beyond,
+#: the texts are shuffled to them.
+FEW, ROW_BYTES, STRETCH_BYTES = 64 << 20, 64, 16
+#: Contexts of one anchor that a reading task hands to its owner; with more of them all are contested.
+CROWD = 64
+MARK, ENTRY, CONTESTED, HOT = 0, 1, 2, 3
+SCHEMA = pa.schema([("kind", pa.int8()), ("k1", pa.int32()), ("k2", pa.int64()), ("d", pa.int64()), ("t", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("c", pa.int64())])
+SPARK_SCHEMA = "kind tinyint, k1 int, k2 long, d long, t int, p int, n int, c long"
+Rows = tuple[np.ndarray, ...]  # k1, k2, d, t, p, n, c
+Places = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # d, t, p, n
 
 
 def piece_hashes(b: np.ndarray, widths: tuple[int, ...] = (PIECE, CORE)) -> list[np.ndarray]:
@@ -75,19 +87,19 @@ def anchors(b: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (np.minimum(packed[:n], packed[span - width : span - width + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def contexts(docs: list[tuple[int, int, bytes]]) -> Rows:
-    """One entry for each anchor: its hash, its context's hash, document, first string, number of strings.
+def contexts(docs: list[tuple[int, int, int, bytes]]) -> Rows:
+    """One entry for each anchor: its hash, its context's hash, document (key and text hash), first string, number of strings.
 
-    docs: order, offset of the piece in its document, bytes.
+    docs: key, text hash, offset of the piece in its document, bytes.
     """
-    joined = b"".join(x for _, _, x in docs)
+    joined = b"".join(x[3] for x in docs)
     b = np.frombuffer(joined, np.uint8)
-    lengths = np.array([len(x) for _, _, x in docs])
+    lengths = np.array([len(x[3]) for x in docs])
     begin = np.cumsum(lengths) - lengths
     counts = np.maximum(lengths - SPAN + 1, 0)
     total = int(counts.sum())
     if not total:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     owner = np.repeat(np.arange(len(docs)), counts)
     place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begin, counts)
     hashes, cores = piece_hashes(b)
@@ -97,8 +109,7 @@ def contexts(docs: list[tuple[int, int, bytes]]) -> Rows:
     start, view, digest = place[first], memoryview(joined), xxhash.xxh3_64_intdigest
     k2 = np.fromiter((digest(view[s:e]) for s, e in zip(start.tolist(), (start + n + SPAN - 1).tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
     own = owner[first]
-    order = np.array([d for d, _, _ in docs], np.int64)
-    offset = np.array([o for _, o, _ in docs], np.int64)
+    order, text, offset = (np.array([x[i] for x in docs], np.int64) for i in range(3))
     end = start + n + SPAN - 1
     c = np.zeros(len(first), np.uint64)
     for i in range(4):  # 16 bits for each core that lies within the context, 0 for none
@@ -106,80 +117,93 @@ def contexts(docs: list[tuple[int, int, bytes]]) -> Rows:
         inside = (at >= start) & (at + CORE <= end)
         c |= np.where(inside, (cores[np.where(inside, at, 0)] >> np.uint64(48)) | np.uint64(1), np.uint64(0)) << np.uint64(16 * i)
     k1 = (hashes[anchor[first]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    return k1.astype(np.int64), k2, order[own], start - begin[own] + offset[own], n, c.view(np.int64)
+    return k1.astype(np.int64), k2, order[own], text[own], start - begin[own] + offset[own], n, c.view(np.int64)
 
 
-def firsts(rows: Rows) -> tuple[Rows, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in order of (k1, k2) with the first place of each, and d, p, n of the places after it."""
-    order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
-    k1, k2, d, p, n, c = (x[order] for x in rows)
+def firsts(rows: Rows) -> tuple[Rows, Places]:
+    """Rows in order of (k1, k2) with the first place of each, and the places after it."""
+    order = np.lexsort((rows[4], rows[3], rows[2], rows[1], rows[0]))
+    k1, k2, d, t, p, n, c = (x[order] for x in rows)
     new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))) if len(k1) else np.zeros(0, bool)
     # a row that repeats a place is the same place, not a later one
     place = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))
-    later = ~new & ((d != d[place]) | (p != p[place]))
-    return tuple(x[new] for x in (k1, k2, d, p, n, c)), d[later], p[later], n[later]
+    later = ~new & ((d != d[place]) | (t != t[place]) | (p != p[place]))
+    return tuple(x[new] for x in (k1, k2, d, t, p, n, c)), (d[later], t[later], p[later], n[later])
 
 
-def runs(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(d: np.ndarray, t: np.ndarray, p: np.ndarray, n: np.ndarray) -> Places:
     """Neighbouring stretches of strings as one."""
     if not len(d):
-        return d, p, n
-    order = np.lexsort((p, d))
-    d, p, n = d[order], p[order].astype(np.int64), n[order].astype(np.int64)
-    apart = np.cumsum(np.concatenate(([0], d[1:] != d[:-1]))) << 40  # no stretch reaches from one document into the next
+        return d, t, p, n
+    order = np.lexsort((p, t, d))
+    d, t, p, n = d[order], t[order], p[order].astype(np.int64), n[order].astype(np.int64)
+    apart = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) << 40  # no stretch reaches from one document into the next
     end = np.maximum.accumulate(p + n + apart)
     new = np.concatenate(([True], (p + apart)[1:] > end[:-1]))
     at = np.flatnonzero(new)
-    return d[at], p[at], np.maximum.reduceat(p + n, at) - p[at]
+    return d[at], t[at], p[at], np.maximum.reduceat(p + n, at) - p[at]
 
 
-def batch_of(kind: int, d: np.ndarray, p: np.ndarray, n: np.ndarray, k1: np.ndarray | None = None, k2: np.ndarray | None = None, c: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def batch_of(kind: int, d: np.ndarray, t: np.ndarray, p: np.ndarray, n: np.ndarray, k1: np.ndarray | None = None, k2: np.ndarray | None = None, c: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches; what has no key of its own is dealt out by its document."""
     k1 = ((d.astype(np.uint64) * ODD + p.astype(np.uint64) * MIX) >> np.uint64(33)).view(np.int64) if k1 is None else k1
     k2 = np.zeros(len(d), np.int64) if k2 is None else k2
     c = np.zeros(len(d), np.int64) if c is None else c
     for at in range(0, len(d), BATCH):
         s = slice(at, at + BATCH)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d[s]), kind, np.int8)), pa.array(k1[s].astype(np.int32)), pa.array(k2[s]), pa.array(d[s]), pa.array(p[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), pa.array(c[s])], schema=SCHEMA)
+        small = lambda x: pa.array(x[s].astype(np.int32))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d[s]), kind, np.int8)), small(k1), pa.array(k2[s]), pa.array(d[s]), small(t), small(p), small(n), pa.array(c[s])], schema=SCHEMA)
 
 
-def handed_on(parts: list[Rows]) -> Iterator[pa.RecordBatch]:
-    """First places as entries; later ones of this task are marked at once, so a frequent string moves once per task."""
-    rows = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    kept, d, p, n = firsts(rows)  # type: ignore[arg-type]
-    yield from batch_of(MARK, *runs(d, p, n))
-    k1, k2, d, p, n, c = kept
-    yield from batch_of(ENTRY, d, p, n, k1, k2, c)
-
+def handed_on(parts: list[Rows], crowd: int | None) -> Iterator[pa.RecordBatch]:
+    """First places as entries; later ones of this task are marked at once, so a frequent string moves once per task.
 
-def held_back(found: Iterable[Rows]) -> Iterator[pa.RecordBatch]:
+    Contexts of an anchor that has more than `crowd` of them here are contested at once, and its owner is told.
+    """
+    rows = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    kept, later = firsts(rows)
+    yield from batch_of(MARK, *runs(*later))
+    if crowd is not None:
+        anchor, at, times = np.unique(kept[0], return_inverse=True, return_counts=True)
+        hot = times > crowd
+        if hot.any():
+            many = hot[at]
+            yield from batch_of(CONTESTED, *runs(*(x[many] for x in kept[2:6])))
+            none = np.zeros(int(hot.sum()), np.int64)
+            yield from batch_of(HOT, none, none, none, none, anchor[hot])
+            kept = tuple(x[~many] for x in kept)
+    k1, k2, d, t, p, n, c = kept
+    yield from batch_of(ENTRY, d, t, p, n, k1, k2, c)
+
+
+def held_back(found: Iterable[Rows], crowd: int | None = None) -> Iterator[pa.RecordBatch]:
     parts: list[Rows] = []
     for rows in found:
         parts.append(rows)
         if sum(len(x[0]) for x in parts) >= HELD:
-            yield from handed_on(parts)
+            yield from handed_on(parts, crowd)
             parts = []
     if parts:
-        yield from handed_on(parts)
+        yield from handed_on(parts, crowd)
 
 
 def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found() -> Iterator[Rows]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for d, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = x.as_py()
                 for at in range(0, max(1, len(data) - SPAN + 1), BLOCK):
-                    held.append((d, at, data[at : at + BLOCK + SPAN - 1]))
-                    size += len(held[-1][2])
+                    held.append((d, t, at, data[at : at + BLOCK + SPAN - 1]))
+                    size += len(held[-1][3])
                     if size >= BLOCK:
                         yield contexts(held)
                         held, size = [], 0
         if held:
             yield contexts(held)
 
-    yield from held_back(found())
+    yield from held_back(found(), CROWD)
 
 
 def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +212,14 @@ def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found() -> Iterator[Rows]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            for d, x, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for d, t, x, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 view = memoryview(x.as_py())
                 one = np.array([(s["p"], s["n"]) for s in spans], np.int64)
                 for at in range(0, len(one), 4096):
                     s, n = one[at : at + 4096].T
                     p = np.repeat(s, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     keys = np.frombuffer(b"".join([digest(view[i : i + SPAN]) for i in p.tolist()]), "<i8").reshape(-1, 2)
-                    yield keys[:, 0].astype(np.int32).astype(np.int64), keys[:, 1].copy(), np.full(len(p), d, np.int64), p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64)
+                    yield keys[:, 0].astype(np.int32).astype(np.int64), keys[:, 1].copy(), np.full(len(p), d, np.int64), np.full(len(p), t, np.int64), p, np.ones(len(p), np.int64), np.zeros(len(p), np.int64)
 
     yield from held_back(found())
 
@@ -205,11 +229,12 @@ class LevelFamily:
 
     def __init__(self) -> None:
         self.levels: list[Rows] = []
+        self.hot: list[np.ndarray] = []
 
-    def add(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Take a batch in; returns d, p, n of the places found not to be first."""
-        batch, d, p, n = firsts(rows)
-        late = [(d, p, n)]
+    def add(self, rows: Rows) -> Places:
+        """Take a batch in; returns the places found not to be first."""
+        batch, later = firsts(rows)
+        late = [later]
         for i, level in enumerate(self.levels):
             code, own = self.code(level), self.code(batch)
             order = np.argsort(code, kind="stable")
@@ -219,12 +244,13 @@ class LevelFamily:
             if not met.any():
                 continue
             a = at[met]
-            mine, theirs = tuple(x[met] for x in batch[2:5]), tuple(x[a] for x in level[2:5])
+            mine, theirs = tuple(x[met] for x in batch[2:6]), tuple(x[a] for x in level[2:6])
             same = (mine[0] == theirs[0]) & (mine[1] == theirs[1])
-            earlier = (mine[0] < theirs[0]) | (mine[0] == theirs[0]) & (mine[1] < theirs[1])
+            earlier = (mine[0] < theirs[0]) | (mine[0] == theirs[0]) & (mine[1] < theirs[1]) | same & (mine[2] < theirs[2])
+            same &= mine[2] == theirs[2]
             late.append(tuple(np.where(earlier, y, x)[~same] for x, y in zip(mine, theirs, strict=True)))  # type: ignore[arg-type]
             level = tuple(x.copy() for x in level)  # type: ignore[assignment]
-            for k in (2, 3, 4):
+            for k in (2, 3, 4, 5):
                 level[k][a[earlier]] = batch[k][met][earlier]
             self.levels[i] = level
             batch = tuple(x[~met] for x in batch)  # type: ignore[assignment]
@@ -244,19 +270,19 @@ class LevelFamily:
         order = np.lexsort((rows[1], rows[0]))
         return tuple(x[order] for x in rows)  # type: ignore[return-value]
 
-    def contested(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """d, p, n of first places that share a core with another context of their anchor."""
+    def contested(self) -> Places:
+        """First places that share a core with another context of their anchor, or whose anchor is hot."""
         if not self.levels:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
-        k1, _, d, p, n, c = self.merged(self.levels)
-        shared = np.zeros(len(k1), bool)
+            return tuple(np.zeros(0, np.int64) for _ in range(4))  # type: ignore[return-value]
+        k1, _, d, t, p, n, c = self.merged(self.levels)
+        shared = np.isin(k1, np.concatenate(self.hot)) if self.hot else np.zeros(len(k1), bool)
         for i in range(4):
             core = (c.view(np.uint64) >> np.uint64(16 * i)) & np.uint64(0xFFFF)
             has = np.flatnonzero(core)
             key = (k1[has].astype(np.uint64) << np.uint64(16)) | core[has]
             _, at, times = np.unique(key, return_inverse=True, return_counts=True)
             shared[has] |= times[at] > 1
-        return d[shared], p[shared], n[shared]
+        return d[shared], t[shared], p[shared], n[shared]
 
 
 def _index(batches: Iterable[pa.RecordBatch], contest: bool) -> Iterator[pa.RecordBatch]:
@@ -271,12 +297,16 @@ def _index(batches: Iterable[pa.RecordBatch], contest: bool) -> Iterator[pa.Reco
 
     for b in batches:
         kind = b.column(0).to_numpy(zero_copy_only=False)
-        columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 7)]
-        mark = kind == MARK
-        if mark.any():
-            yield from batch_of(MARK, *(x[mark] for x in columns[2:5]))
-        if not mark.all():
-            held.append(tuple(x[~mark] for x in columns))  # type: ignore[arg-type]
+        columns = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, 8)]
+        for known in (MARK, CONTESTED):
+            these = kind == known
+            if these.any():
+                yield from batch_of(known, *(x[these] for x in columns[2:6]))
+        if (kind == HOT).any():
+            family.hot.append(np.unique(columns[0][kind == HOT]))
+        entry = kind == ENTRY
+        if entry.any():
+            held.append(tuple(x[entry] for x in columns))
         if sum(len(x[0]) for x in held) >= BATCH:
             yield from taken()
     if held:
@@ -285,10 +315,10 @@ def _index(batches: Iterable[pa.RecordBatch], contest: bool) -> Iterator[pa.Reco
         yield from batch_of(CONTESTED, *runs(*family.contested()))
 
 
-def _removed(batches: Iterable[pa.RecordBatch], key_type: pa.DataType, key: str) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([(key, key_type), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
     for b in batches:
+        schema = pa.schema([(key, b.schema.field(0).type), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
             sizes, spans, kept = [], [], []
@@ -301,7 +331,7 @@ def _removed(batches: Iterable[pa.RecordBatch], key_type: pa.DataType, key: str)
                     continue
                 p = np.array([m["p"] for m in marks], np.int64)
                 n = np.array([m["n"] for m in marks], np.int64)
-                _, start, length = runs(np.zeros(len(p), np.int64), p, n + SPAN - 1)
+                _, _, start, length = runs(np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), p, n + SPAN - 1)
                 cut = list(zip(start.tolist(), np.minimum(start + length, len(data)).tolist(), strict=True))
                 spans.append([{"start": s, "end": e} for s, e in cut])
                 edges = [0, *(x for c in cut for x in c), len(data)]
@@ -317,25 +347,28 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """key, n_bytes, spans (start, end in bytes of the maximal removed runs) and kept (the remaining bytes) of every row.
 
     A byte is removed if a 100-byte string covers it that also starts earlier: in a document with a smaller key, or
-    earlier in the same one. A null text is empty. Rows without a key come last, in the order of a hash of their text.
-    Rows that share key and text are one document and get one result. An empty table gives an empty result.
+    earlier in the same one. Rows that share a key come in the order of a hash of their text; rows that share key and
+    text are one document and get one result. A null text is empty. Rows without a key come last, in the order of a hash
+    of their text; keys that aren't whole numbers are ordered by a hash. A text of any length is read in blocks; a task
+    holds one text and its result. An empty table gives an empty result.
     """
-    name = F.coalesce(F.col(key).cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+    whole = isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    hashed = F.pmod(F.xxhash64(text), F.lit(1 << 40))
+    named = F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 62)))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    source = docs.select(F.col(key), name.alias("d"), body.alias("body"))
+    source = docs.select(F.col(key).alias("_key"), F.coalesce(named, F.lit(LAST) - hashed).alias("d"), F.hash(text).alias("t"), body.alias("body"))
     work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]] = _contexts
-    settled = materialise(indexed(source.select("d", "body").mapInArrow(work, SPARK_SCHEMA), True))
-    spans = lambda df: df.groupBy("d").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
+    settled = materialise(indexed(source.select("d", "t", "body").mapInArrow(work, SPARK_SCHEMA), True))
+    spans = lambda df: df.groupBy("d", "t").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
     contested = materialise(spans(settled.where(F.col("kind") == CONTESTED)))
     few = contested.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
-    if few[0] <= FEW and (few[1] or 0) <= FEW:  # 16 bytes a row and a stretch at most
+    if ROW_BYTES * few[0] + STRETCH_BYTES * (few[1] or 0) <= FEW:
         contested = F.broadcast(contested)
-    strings = source.select("d", "body").join(contested, "d").select("d", "body", "spans").mapInArrow(_strings, SPARK_SCHEMA)
+    strings = source.select("d", "t", "body").join(contested, ["d", "t"]).select("d", "t", "body", "spans").mapInArrow(_strings, SPARK_SCHEMA)
     later = indexed(strings, False)
     marks = materialise(spans(settled.where(F.col("kind") == MARK).unionByName(later)))
-    joined = source.join(marks, "d", "left").select(key, "body", "spans")
-    key_type = pa.int64() if docs.schema[key].dataType.typeName() == "long" else pa.int32()
-    return joined.mapInArrow(lambda it: _removed(it, key_type, key), f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = source.join(marks, ["d", "t"], "left").select("_key", "body", "spans")
+    return joined.mapInArrow(lambda it: _removed(it, key), f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def removal_digest(removed: DataFrame, key: str = "doc_id") -> DataFrame:
