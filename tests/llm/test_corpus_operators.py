@@ -333,9 +333,42 @@ def test_patricia_trie():
     keys = [bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(500)]
     for i, k in enumerate(keys):
         trie.insert(k).add(i)
+    assert trie.nodes < len(set(keys)) * 2 and any(len(n.children) > 1 for n in trie.root.children.values())  # it branches
     assert {k: (t.keep, t.count) for k, t in trie.items()} == {k: (max(i for i, x in enumerate(keys) if x == k), keys.count(k)) for k in keys}
 
 
+def test_patricia_trie_spills_subtrees():
+    trie, rng = exact_dedup.PatriciaTrie(), random.Random(4)
+    keys = [bytes(rng.choices(b"abc", k=rng.randint(1, 12))) for _ in range(400)]
+    got = Counter()
+    for k in keys:
+        trie.insert(k).add(1)
+        if trie.weight > 20 * exact_dedup.NODE_BYTES:
+            gone = [*trie.spill()]
+            assert len({b[:1] for b, _ in gone}) == 1 and [b for b, _ in gone] == sorted(b for b, _ in gone)
+            got.update({b: t.count for b, t in gone})
+    got.update({b: t.count for b, t in trie.items()})
+    assert got == Counter(keys)
+
+
+def test_trie_of_ordered_strings_holds_one_path():
+    rng = random.Random(5)
+    keys = sorted(bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(600))
+    trie, got = exact_dedup.OrderedTrie(), []
+    for i, k in enumerate(keys):
+        got += [*trie.add(k, i, 1)]
+        assert len(trie.path) <= len(k) + 1
+    got += [*trie.finish()]
+    assert {k: (t.keep, t.count) for k, t in got} == {k: (max(i for i, x in enumerate(keys) if x == k), keys.count(k)) for k in keys}
+    assert len(got) == len(set(keys))
+
+
+def test_exact_dedup_when_tries_spill(docs, texts, monkeypatch):
+    want = sorted(map(tuple, exact_dedup.exact_duplicates(docs).collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "HELD", 2000)
+    assert sorted(map(tuple, exact_dedup.exact_duplicates(docs.repartition(2)).collect()), key=str) == want
+
+
 def fingerprint_brute(text, k=3):
     w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
     shingles = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
