@@ -19,6 +19,8 @@ from tokentide.llm.common import materialise
 
 #: Bounds of the number of blocks (and of the parts that each shard is permuted in); the matrix has blocks x shards cells.
 LEAST_BLOCKS, MOST_BLOCKS = 96, 16384
+#: Equal rows that are dealt out again at once.
+RUN = 1 << 16
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -71,22 +73,26 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> lis
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_block: int = 1 << 18, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard and slot of every row: a uniform shuffle into shards whose counts differ by one at most.
 
-    A null or empty text has size 8; a null text has checksum null. Rows equal in key and text are dealt each, in either
-    order. A null key is a key like any other. An empty table gives an empty result; other columns are ignored. Seeds
-    and rows decide alone: a rerun agrees.
+    A null or empty text has size 8; a null text has checksum null. Rows that are equal in all three are counted and dealt
+    out again with a number each, so that a million of them lie in as many blocks as others do. A null key is a key like
+    any other. An empty table gives an empty result; other columns are ignored. Texts are only measured, whole, where they
+    lie. Seeds and rows decide alone: a rerun agrees.
     """
     spark = docs.sparkSession
-    slim = materialise(
-        docs.select(
-            F.col(key),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-            F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
-        )
+    slim = docs.select(
+        F.col(key),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
     )
+    alike = slim.groupBy(key, "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    # two steps, so that no array is longer than RUN
+    runs = alike.withColumn("run", F.explode(F.expr(f"sequence(0, (n - 1) div {RUN})")))
+    numbered = runs.withColumn("no", F.explode(F.expr(f"sequence(run * {RUN}, least(n, (run + 1) * {RUN}) - 1)")))
+    slim = materialise(numbered.select(key, "size", "text_crc32", "no"))
     total = slim.count()
     n_blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, math.ceil(total / rows_per_block)))
     n_parts = min(MOST_BLOCKS // shards, max(8, math.ceil(total / shards / rows_per_block)))
-    mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), F.col("text_crc32"))
+    mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), F.col("text_crc32"), F.col("no"))
 
     rows = slim.withColumn("block", F.pmod(mix(1), F.lit(n_blocks)))
     counts = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_BLOCKS rows at most
@@ -95,13 +101,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_
     ends = [[sum(line[: k + 1]) for k in range(shards)] for line in matrix]
     dealt = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("block_no", "ends"))
 
-    local = Window.partitionBy("block").orderBy(mix(2), F.col(key), F.col("text_crc32"), F.col("size"))
+    local = Window.partitionBy("block").orderBy(mix(2), F.col(key), F.col("text_crc32"), F.col("size"), F.col("no"))
     sent = (
         rows.withColumn("at", F.row_number().over(local) - 1)
         .join(F.broadcast(dealt), F.col("block") == F.col("block_no"))  # n_blocks rows
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
         .withColumn("part", F.pmod(mix(3), F.lit(n_parts)))
-        .select(key, "size", "text_crc32", "shard", "part")
+        .select(key, "size", "text_crc32", "no", "shard", "part")
     )
     sent = materialise(sent)
     offsets = (
@@ -110,7 +116,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_
         .withColumn("offset", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n"))
         .select(F.col("shard").alias("to_shard"), F.col("part").alias("to_part"), "offset")
     )
-    again = Window.partitionBy("shard", "part").orderBy(mix(4), F.col(key), F.col("text_crc32"), F.col("size"))
+    again = Window.partitionBy("shard", "part").orderBy(mix(4), F.col(key), F.col("text_crc32"), F.col("size"), F.col("no"))
     return (
         sent.withColumn("at", F.row_number().over(again) - 1)
         .join(F.broadcast(offsets), (F.col("shard") == F.col("to_shard")) & (F.col("part") == F.col("to_part")))  # MOST_BLOCKS rows at most
