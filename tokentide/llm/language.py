@@ -73,8 +73,8 @@ def train_svm(xs: list[tuple[np.ndarray, np.ndarray]], ys: np.ndarray, c: float
 class LanguageModel:
     """Pairwise machines over families, and within each family over its languages."""
 
-    def __init__(self, texts: list[str], langs: list[str]) -> None:
-        xs = [features(t) for t in texts]
+    def __init__(self, xs: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> None:
+        """xs: features of the sample."""
         families = [FAMILY_OF.get(x.lower()[:2], "other") for x in langs]
         self.families = sorted(set(families))
         self.languages = {f: sorted({x for x, g in zip(langs, families, strict=True) if g == f}) for f in self.families}
@@ -136,8 +136,9 @@ class LanguageModel:
 def learn(docs: DataFrame, learn_from: int = LEARN_FROM, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from a sample of the labelled documents that aren't held out.
 
-    The sample is bounded: about `learn_from` documents of each language, chosen by a hash of the key. Rows without
-    text or language, or without a letter, aren't learned from.
+    The sample is bounded: about `learn_from` documents of each language, chosen by a hash of the key; a key that
+    repeats counts once. Only their features come to the driver, BUCKETS numbers a document at most, however long it is.
+    Rows without text or language, or without a letter, aren't learned from.
     """
     usable = docs.where(~is_held_out(key) & F.col(lang).isNotNull() & (F.col(lang) != UNDETERMINED))
     counts = usable.groupBy(lang).agg(F.count(F.lit(1)).alias("n"))
@@ -145,16 +146,27 @@ def learn(docs: DataFrame, learn_from: int = LEARN_FROM, key: str = "doc_id", te
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20))
     chosen = materialise(usable.select(key, lang).join(share, lang).where(draw < F.col("upto")).select(key).distinct())
     texts = usable.select(key, text, lang).join(F.broadcast(chosen), key)  # about learn_from keys for each language
-    rows = texts.where(F.col(text).rlike(r"\p{L}")).select(key, text, lang)
-    sample = sorted(rows.collect(), key=lambda r: (r[lang], r[key]))
-    return LanguageModel([r[text] for r in sample], [r[lang] for r in sample])
+    rows = texts.where(F.col(text).rlike(r"\p{L}")).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("x"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 64):
+                part = b.slice(at, 64)
+                found = [features(x.as_py()) for x in part.column(2)]
+                codes, values = pa.array([c.astype(np.int32) for c, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, values], ["k", "lang", "codes", "counts"])
+
+    found = rows.mapInArrow(work, "k string, lang string, codes array<int>, counts array<double>")
+    once = found.groupBy("lang", "k").agg(F.min(F.struct("codes", "counts")).alias("x"))
+    sample = sorted(once.collect(), key=lambda r: (r["lang"], r["k"]))
+    return LanguageModel([(np.array(r["x"]["codes"], np.int64), np.array(r["x"]["counts"])) for r in sample], [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score (0 to 1) of each whole text.
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned. Repeated rows are judged each;
-    a null key stays null; other columns, lang and source among them, aren't read.
+    a null key stays null; other columns, lang and source among them, aren't read. Long texts are read in blocks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each pair of languages
 
