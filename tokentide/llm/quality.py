@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from tokentide.llm.common import in_pieces, materialise
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
+#: Begins the names of columns that are added to a caller's.
+OWN = "_quality_"
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 UPPER = bytes(range(65, 91))
@@ -72,9 +74,9 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
 
 
 def measured_rows(docs: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """All columns of docs with `_stratum` and COUNTS, each after an underscore: the rows stay where they are."""
-    prepared = docs.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    out = T.StructType([*prepared.schema.fields, *[T.StructField(f"_{c}", T.LongType()) for c in COUNTS]])
+    """All columns of docs with stratum and COUNTS, each after OWN: the rows stay where they are."""
+    prepared = docs.withColumn(f"{OWN}stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    out = T.StructType([*prepared.schema.fields, *[T.StructField(f"{OWN}{c}", T.LongType()) for c in COUNTS]])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,18 +87,19 @@ def measured_rows(docs: DataFrame, text: str = "text", stratum: str = "lang") ->
     return prepared.mapInArrow(work, out)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(own: str = "") -> Column:
+    n = F.col(f"{own}n_words")
+    return (n < 50) | (100 * F.col(f"{own}n_repeat_words") > 50 * n)
 
 
-def rates() -> dict[str, Column]:
-    words = F.greatest("n_words", F.lit(1))
+def rates(own: str = "") -> dict[str, Column]:
+    words = F.greatest(f"{own}n_words", F.lit(1))
     return {
-        "symbols_per_word": F.col("n_symbols") / words,
-        "duplicate_lines_per_word": F.col("n_dup_lines") / words,
-        "repeated_share": F.col("n_repeat_words") / words,
-        "chars_per_word": F.col("word_chars") / words,
-        "upper_share": F.col("n_upper") / F.greatest("word_chars", F.lit(1)),
+        "symbols_per_word": F.col(f"{own}n_symbols") / words,
+        "duplicate_lines_per_word": F.col(f"{own}n_dup_lines") / words,
+        "repeated_share": F.col(f"{own}n_repeat_words") / words,
+        "chars_per_word": F.col(f"{own}word_chars") / words,
+        "upper_share": F.col(f"{own}n_upper") / F.greatest(f"{own}word_chars", F.lit(1)),
     }
 
 
@@ -135,14 +138,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", risk: f
     return long.groupBy("stratum").applyInPandas(lambda t: choose_cutoffs(t, risk, error), "stratum string, rule string, cutoff double")
 
 
-def _by_stratum(chosen: DataFrame) -> DataFrame:
-    return chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+def _by_stratum(chosen: DataFrame, own: str = "") -> DataFrame:
+    return chosen.groupBy(F.col("stratum").alias(f"{own}of_stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{own}cut_{r}") for r in RULES])
 
 
-def _above() -> Column:
+def _above(own: str = "") -> Column:
     above = F.lit(False)
-    for r, rate in rates().items():
-        above = above | F.coalesce(rate > F.col(f"cut_{r}"), F.lit(False))
+    for r, rate in rates(own).items():
+        above = above | F.coalesce(rate > F.col(f"{own}cut_{r}"), F.lit(False))
     return above
 
 
@@ -150,12 +153,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows that judge() keeps, with the columns of docs. Texts are measured where they lie and never shuffled.
 
     A stratum has cutoffs only where its labels prove them, so their table has a row for each well-labelled stratum.
+    Columns of docs may have any names that don't begin with OWN.
     """
     measured = materialise(measures(docs, key, text, stratum))
-    by_stratum = materialise(_by_stratum(cutoffs(measured, labels.select(key, "quality"), key, risk, error)))
-    rows = measured_rows(docs, text, stratum).withColumnsRenamed({f"_{c}": c for c in COUNTS})
-    joined = rows.join(by_stratum.withColumnRenamed("stratum", "_cut_stratum"), F.col("_stratum") == F.col("_cut_stratum"), "left")
-    return joined.where(~base_failed() & ~_above()).select(*docs.columns)
+    by_stratum = materialise(_by_stratum(cutoffs(measured, labels.select(key, "quality"), key, risk, error), OWN))
+    rows = measured_rows(docs, text, stratum)
+    joined = rows.join(by_stratum, F.col(f"{OWN}stratum") == F.col(f"{OWN}of_stratum"), "left")
+    return joined.where(~base_failed(OWN) & ~_above(OWN)).select(*docs.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -163,9 +167,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     kept is false where the base rules fail or a measure is above its stratum's cutoff. A null text has no words and
     fails. A null stratum is the empty one. Without labels only the base rules hold. Rows that repeat are judged each;
-    rows without a key are never labelled; extra columns are ignored.
+    rows without a key are never labelled; extra columns are ignored. Texts are measured whole: a task holds one text and
+    its words, some twenty times its bytes.
     """
     measured = materialise(measures(docs, key, text, stratum))
     by_stratum = materialise(_by_stratum(cutoffs(measured, labels.select(key, "quality"), key, risk, error)))
-    joined = measured.join(by_stratum, "stratum", "left")
+    joined = measured.join(by_stratum, F.col("stratum") == F.col("of_stratum"), "left")
     return joined.select(key, *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~_above()).alias("kept"))
