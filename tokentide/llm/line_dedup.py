@@ -88,26 +88,26 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """All columns of docs with kept_text, n_lines, n_removed and n_runs.
+    """All columns of docs with kept_text, n_lines, n_removed and n_runs (a column of docs with such a name is replaced).
 
     First occurrence: smallest doc_id (a missing one last), then first line. Lines without a word belong to a run only
     between its lines. Without `whole`, runs end where they hold min_words words. A null text stays null and has no lines;
     a text whose lines all go becomes empty. Rows that share doc_id and text count as one and get one result. An empty
     table gives an empty result.
     """
-    kept_names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "n_runs", "d", "t", "runs")]
-    runs = materialise(repeated_runs(docs, min_words, key, text, whole))
-    keyed = docs.select(*kept_names).withColumns({"d": order_id(key), "t": F.xxhash64(text)}).join(runs, ["d", "t"], "left")
+    kept_names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "n_runs")]
+    runs = materialise(repeated_runs(docs, min_words, key, text, whole)).withColumnsRenamed({"d": "_line_d", "t": "_line_t", "runs": "_line_runs"})
+    keyed = docs.select(*kept_names).withColumns({"_line_d": order_id(key), "_line_t": F.xxhash64(text)}).join(runs, ["_line_d", "_line_t"], "left")
     lines = F.split(F.col(text), "\n")
     n = F.size(lines)
-    runs_ = F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>"))
+    runs_ = F.coalesce("_line_runs", F.array().cast("array<struct<start:int,end:int>>"))
     ends = F.concat(F.array(F.lit(0)), F.transform(runs_, lambda r: r["end"]))
     starts = F.concat(F.transform(runs_, lambda r: r["start"]), F.array(n))
     kept = F.flatten(F.zip_with(ends, starts, lambda e, s: F.slice(lines, e + 1, s - e)))
     removed = F.aggregate(runs_, F.lit(0), lambda a, r: a + r["end"] - r["start"])
     return keyed.select(
         *kept_names,
-        F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.when(F.col("_line_runs").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
         removed.cast("long").alias("n_removed"),
         F.size(runs_).cast("long").alias("n_runs"),
