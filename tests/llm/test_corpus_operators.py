@@ -216,6 +216,27 @@ def test_sharding_is_exact_and_repeats(docs, texts, empty):
     assert sharding.shard_documents(empty, shards=5).count() == 0
 
 
+def test_equal_rows_lie_in_many_blocks(spark):
+    table = spark.createDataFrame([(None, None)] * 3000 + [(1, "x")] * 500, "doc_id long, text string").repartition(3)
+    rows = sharding.shard_documents(table, shards=7).collect()
+    counts = Counter((r["shard"], r["doc_id"]) for r in rows)
+    assert len(rows) == 3500 and all(sum(counts[s, k] for k in (None, 1)) == 500 for s in range(7))
+    assert all(300 < counts[s, None] < 500 for s in range(7))  # spread as by chance: 428 each
+    for s in range(7):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(500))
+
+
+def test_hypergeometric_draws_have_the_exact_law():
+    from math import comb
+
+    rng, n = random.Random(3), 20_000
+    for good, bad, draws in ((3, 2, 2), (7, 9, 5), (1, 30, 12), (20, 4, 11)):
+        seen = Counter(sharding.hypergeometric(rng, good, bad, draws) for _ in range(n))
+        for k in range(draws + 1):
+            p = comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws)
+            assert abs(seen[k] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-9
+
+
 def test_communication_matrix_sums_and_mean():
     seen = np.zeros((3, 2))
     for seed in range(400):
@@ -277,7 +298,10 @@ def test_line_dedup(docs, texts, spark, least, empty):
     pool = [words(rng, k) for k in (1, 1, 2, 3, 5, 12)] + ["", " "]
     more = texts + ["\n".join(rng.choices(pool, k=rng.randint(1, 25))) for _ in range(40)]
     table = spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, 4) for i, t in enumerate(more)], SCHEMA).repartition(3)
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_words=least).collect()}
+    found = line_dedup.dedup_lines(table, min_words=least)
+    assert set(table.columns) <= set(found.columns)  # d and runs of the caller stay
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert {(r["d"], r["runs"], r["size"]) for r in got.values()} == {(2, 3, 4)}
     for i, (text, n) in enumerate(lines_brute(more, least)):
         assert (got[i]["kept_text"], got[i]["n_removed"]) == (text, n), i
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -438,6 +462,43 @@ def test_quality_measures_and_risk(docs, texts, spark, empty):
     assert quality.judge(empty, labels).count() == 0
 
 
+def test_quality_with_live_cutoffs(spark):
+    """Labels enough to prove cutoffs: kept is what exact binomial sums over the labelled rows give."""
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(17)
+    rows = []
+    for i in range(2600):
+        w = [f"{rng.choice(SYLLABLES)}{rng.choice(SYLLABLES)}{i}x{k}" for k in range(52)]
+        lang = "en" if i < 1800 else "xx"  # 800 labels of xx prove nothing
+        for k in rng.sample(range(52), (20 if i % 9 == 0 else 2 if i % 600 == 1 else 0)):
+            w[k] += "#$"
+        rows.append((i, " ".join(w), lang, 7, 8, "s"))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, n_words int, n_symbols int, stratum string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 9 != 0), 0) for i in range(2600)], "doc_id int, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    measured = {i: quality.measure(t) for i, t, *_ in rows}
+    rate = {i: {"symbols_per_word": m[2] / m[0], "duplicate_lines_per_word": m[3] / m[0], "repeated_share": m[4] / m[0], "chars_per_word": m[1] / m[0], "upper_share": m[5] / m[1]} for i, m in measured.items()}
+    share, tests = Fraction(3, 500), 2 * sum(map(len, quality.RULES.values()))
+    cut = {}
+    for lang in ("en", "xx"):
+        good = [i for i, _, g, *_ in rows if g == lang and i % 9]
+        n = len(good)
+        for rule, tried in quality.RULES.items():
+            for c in tried:
+                k = sum(rate[i][rule] > c for i in good)
+                tail = sum(comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1)) if k < 40 else 1
+                if tail <= Fraction(5, 100) / tests:
+                    cut[lang, rule] = min(c, cut.get((lang, rule), c))
+    want = {i: not any(rate[i][r] > cut.get((g, r), 1e9) for r in quality.RULES) for i, _, g, *_ in rows}
+    assert got == want and ("en", "symbols_per_word") in cut and not any(k[0] == "xx" for k in cut)
+    assert not all(want[i] for i in range(0, 1800, 9)) and sum(want[i] for i in range(1800) if i % 9) > 1580
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["n_words"], r["stratum"]) for r in kept.collect()} == {(i, 7, "s") for i in want if want[i]}
+
+
 def test_cutoffs_hold_the_bound():
     import pandas as pd
 
