@@ -32,8 +32,8 @@ def test_text_helpers(spark):
     assert one(spark, parse_usd(F.lit("1,150.5"), F.lit("K"))) == 1150500.0
     assert one(spark, age_seconds(F.lit("1d 2h 3m"))) == 93780 and one(spark, age_seconds(F.lit("new"))) is None
     assert one(spark, net_pct(F.lit(100.0), F.lit(10.0), F.lit(None).cast("double"))) == pytest.approx(80.0)
-    assert [one(spark, band(F.lit(v))) for v in (-90.0, 0.0, 20.0, 19.9, 400.0, 1e9)] == [0, 3, 5, 4, 8, 8]
-    assert one(spark, outcome(F.lit(500.0), F.lit(True))) == "rugged"
+    assert [one(spark, band(F.lit(v))) for v in (-75.0, -50.0, -25.0, 0.0, 25.0, 24.9, 100.0, 300.0, 1e9)] == [0, 1, 2, 3, 5, 4, 7, 8, 8]
+    assert one(spark, outcome(F.lit(500.0), F.lit(True))) == "rugged" and one(spark, outcome(F.lit(0.0), F.lit(False))) == "loss"
     low, high = wilson(F.lit(5), F.lit(10))
     assert one(spark, low) == pytest.approx(0.2366, abs=1e-3) and one(spark, high) == pytest.approx(0.7634, abs=1e-3)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Upper limits of the return bands; a value on a limit goes to the band away from zero.
-BANDS = [-90.0, -50.0, -20.0, 0.0, 20.0, 50.0, 100.0, 400.0]
+BANDS = [-75.0, -50.0, -25.0, 0.0, 25.0, 50.0, 100.0, 300.0]
 #: A return above this is a broken price, not a result.
 EXTREME = 1e5
 
@@ -41,7 +41,8 @@ def band(value: Column) -> Column:
 
 
 def outcome(value: Column, rugged: Column) -> Column:
-    return F.when(F.coalesce(rugged, F.lit(False)), "rugged").when(value <= -50, "collapse").when(value < 0, "loss").when(value < 100, "gain").when(value >= 100, "runner")
+    """Rugged first; a return of exactly 0 is no gain."""
+    return F.when(F.coalesce(rugged, F.lit(False)), "rugged").when(value <= -50, "collapse").when(value <= 0, "loss").when(value < 100, "gain").when(value >= 100, "runner")
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

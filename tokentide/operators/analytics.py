@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentide.functions.expressions import BANDS, band, outcome
+from tokentide.functions.ranks import running
+
 
 def group_stats(rows: DataFrame, keys: list, value: str = "return_pct") -> DataFrame:
     v = F.col(value)
@@ -18,17 +20,15 @@ def group_stats(rows: DataFrame, keys: list, value: str = "return_pct") -> DataF
 def equal_count_groups(rows: DataFrame, column: str, k: int, own_zero: float = 0.2) -> DataFrame:
     """Groups of about equal counts: equal values stay together, and zero is a group of its own if it is frequent.
 
-    Bounds come from the counts of distinct values.
+    Bounds come from the counts of distinct values, summed up slice by slice.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(0))  # over distinct values
-    counts = counts.withColumn("all", F.sum("n").over(every))
-    counts = counts.withColumn("zero", F.max((F.col("v") == 0) & (F.col("n") >= own_zero * F.col("all"))).over(every) & (F.col("v") == 0))
-    w = Window.partitionBy("zero").orderBy("v")
-    counts = counts.withColumns({"upto": F.sum("n").over(w), "m": F.sum("n").over(Window.partitionBy("zero"))})
-    first = F.col("upto") - F.col("n") + 1  # place of the value's first row
-    group = F.when(F.col("zero"), -1).otherwise(F.ceil(first * k / F.col("m")))
-    return counts.groupBy(group.cast("int").alias("g")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n")).select("low", "high", "n")
+    share = counts.agg(F.try_divide(F.sum(F.when(F.col("v") == 0, F.col("n"))), F.sum("n")).alias("_zeros"))
+    counts = counts.crossJoin(F.broadcast(share)).withColumn("zero", (F.col("v") == 0) & (F.coalesce("_zeros", F.lit(0.0)) >= own_zero)).drop("_zeros")  # one row
+    placed = running(counts, "v", ["n"], ["zero"])
+    first = F.col("n_upto") - F.col("n") + 1  # place of the value's first row
+    group = F.when(F.col("zero"), -1).otherwise(F.ceil(first * k / F.col("n_all")))
+    return placed.groupBy(group.cast("int").alias("g")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n")).select("low", "high", "n")
 
 
 def histogram(rows: DataFrame, value: str = "return_pct") -> DataFrame:

@@ -5,22 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokentide.operators.asof import as_of
 from tokentide.plans.domain import HORIZONS
 
 S = 1_000_000  # microseconds in a second
 DAY = 86400
+#: Seconds that a call is followed.
+LONGEST = max(HORIZONS.values())
 
 
-def candles(trades: DataFrame, calls: DataFrame) -> DataFrame:
-    """OHLC candles of each call: 5 minutes for its first day, hours throughout; open and close by event order."""
-    joined = calls.join(trades.select("token", "t", "seq", "price"), "token").where("t >= entry_t")
-    both = joined.withColumn("interval_s", F.explode(F.array(F.lit(300), F.lit(3600)))).where(f"interval_s = 3600 or t < entry_t + {DAY * S}")
+def within(calls: DataFrame, rows: DataFrame, back: int, ahead: int) -> DataFrame:
+    """calls joined to rows of their token from `back` to `ahead` seconds around the entry, by token and day.
+
+    rows has token and t; the caller cuts to the exact moments.
+    """
+    day = lambda c: F.floor(c / (DAY * S))
+    near = calls.withColumn("_day", F.explode(F.sequence(day(F.col("entry_t") - back * S), day(F.col("entry_t") + ahead * S))))
+    return near.join(rows.withColumn("_day", day(F.col("t"))), ["token", "_day"]).drop("_day")
+
+
+def token_candles(trades: DataFrame, interval: int, keys: list[str] | None = None) -> DataFrame:
+    """OHLC candles of each token, aligned to UTC; open, close and their moments by event order."""
     at = F.struct("t", "seq")
-    return both.groupBy("call_id", "interval_s", (F.floor(F.col("t") / S / F.col("interval_s")) * F.col("interval_s")).cast("long").alias("bucket_s")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("events")
+    return trades.groupBy(*(keys or ["token"]), (F.floor(F.col("t") / (S * interval)) * interval).cast("long").alias("bucket_s")).agg(
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.max(at).alias("last"), F.count(F.lit(1)).alias("events")
     )
 
 
+def candles(trades: DataFrame, calls: DataFrame, ahead: int = LONGEST) -> DataFrame:
+    """OHLC candles of each call: 5 minutes for its first day, hours up to `ahead` seconds; open and close by event order.
+
+    Buckets that lie whole within a call's time are the token's candles, made once. Only those it cuts (at its entry and
+    ends) are made from trades, for each call.
+    """
+    trades = trades.select("token", "t", "seq", "price")
+    out = None
+    for interval, length in ((300, DAY), (3600, ahead)):
+        whole = within(calls, token_candles(trades, interval).withColumn("t", F.col("bucket_s") * S), 0, length)
+        whole = whole.where((F.col("bucket_s") * S >= F.col("entry_t")) & ((F.col("bucket_s") + interval) * S <= F.col("entry_t") + length * S))
+        cut = F.array_distinct(F.transform(F.array("entry_t", F.col("entry_t") + length * S), lambda t: (F.floor(t / (S * interval)) * interval).cast("long")))
+        edges = calls.withColumn("bucket_s", F.explode(cut)).where(~((F.col("bucket_s") * S >= F.col("entry_t")) & ((F.col("bucket_s") + interval) * S <= F.col("entry_t") + length * S)))
+        part = edges.join(trades.withColumn("bucket_s", (F.floor(F.col("t") / (S * interval)) * interval).cast("long")), ["token", "bucket_s"])
+        part = part.where((F.col("t") >= F.col("entry_t")) & (F.col("t") < F.col("entry_t") + length * S))
+        made = token_candles(part, interval, ["call_id"])
+        columns = ["call_id", F.lit(interval).alias("interval_s"), "bucket_s", "open", "high", "low", "close", "events"]
+        both = whole.select(*columns).unionByName(made.select(*columns))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def merge_candles(old: DataFrame, new: DataFrame) -> DataFrame:
     """Counts add up, high and low widen, the first open and the last close win."""
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
@@ -31,28 +64,42 @@ def merge_candles(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def entry_price(trades: DataFrame, calls: DataFrame) -> DataFrame:
     """Last price at or before the call, else the first after it, and where it is from."""
-    at = F.struct("t", "seq")
-    joined = calls.join(trades.select("token", "t", "seq", "price"), "token", "left")
-    before = F.col("t") <= F.col("entry_t")
-    found = joined.groupBy("call_id", "token", "entry_t").agg(
-        F.max_by(F.when(before, F.col("price")), F.when(before, at)).alias("_before"), F.min_by(F.when(~before, F.col("price")), F.when(~before, at)).alias("_after")
-    )
+    calls = calls.select("call_id", "token", "entry_t")
+    prices = trades.select("token", "t", "seq", F.col("price").alias("_before"), F.col("price").alias("_after"))
+    found = as_of(calls, prices, "token", "entry_t", "t", ["_before"], "seq")
+    found = as_of(found, prices, "token", "entry_t", "t", ["_after"], "seq", forward=True)
     source = F.when(F.col("_before").isNotNull(), "before").when(F.col("_after").isNotNull(), "after").otherwise("none")
     return found.select("call_id", "token", "entry_t", F.coalesce("_before", "_after").alias("entry_price"), source.alias("entry_source"))
 
 
+def pieces(trades: DataFrame, entries: DataFrame) -> DataFrame:
+    """call_id, entry_t, from_t, to_t, high, low, last (t, seq) and close of a call's time after its entry.
+
+    Whole hours are the token's hourly candles; the hours in which the call begins or a horizon ends come trade by
+    trade, so that every horizon is cut exactly.
+    """
+    trades = trades.select("token", "t", "seq", "price")
+    hour = lambda t: F.floor(t / (3600 * S)).cast("long")
+    cut = F.array_distinct(F.array(hour(F.col("entry_t")), *[hour(F.col("entry_t") + s * S) for s in HORIZONS.values()]))
+    calls = entries.select("call_id", "token", "entry_t", cut.alias("cut"))
+    hours = token_candles(trades, 3600).withColumn("t", F.col("bucket_s") * S)
+    inside = (F.col("t") > F.col("entry_t")) & (F.col("t") <= F.col("entry_t") + LONGEST * S)
+    whole = within(calls, hours, 0, LONGEST).where(inside & ~F.array_contains("cut", hour(F.col("t"))))
+    part = calls.withColumn("hour", F.explode("cut")).join(trades.withColumn("hour", hour(F.col("t"))), ["token", "hour"]).where(inside)
+    ends = lambda df, end, last, high, low, close: df.select("call_id", "entry_t", F.col("t").alias("from_t"), end.alias("to_t"), last.alias("last"), F.col(high).alias("high"), F.col(low).alias("low"), F.col(close).alias("close"))
+    return ends(whole, F.col("last.t"), F.col("last"), "high", "low", "close").unionByName(ends(part, F.col("t"), F.struct("t", "seq"), "price", "price", "price"))
+
+
 def horizon_returns(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFrame:
     """Return, peak and drawdown of each call and horizon against its entry price; pending until due, no_data without trades."""
     due = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("s")) for h, s in HORIZONS.items()])).alias("x")
-    at = F.struct("t", "seq")
     wide = entries.select("*", due).select("call_id", "token", "entry_t", "entry_price", "x.horizon", (F.col("entry_t") + F.col("x.s") * F.lit(S).cast("long")).alias("due_t"))
-    # one pass over a call's trades; the horizons are conditions, not copies of the trades
-    joined = entries.join(trades.select("token", "t", "seq", "price"), "token").where("t > entry_t")
+    # one pass over a call's pieces; the horizons are conditions, not copies
     aggs = []
     for h, s in HORIZONS.items():
-        inside = F.col("t") <= F.col("entry_t") + s * S
-        aggs += [F.max_by(F.when(inside, F.col("price")), F.when(inside, at)).alias(f"last_{h}"), F.max(F.when(inside, F.col("price"))).alias(f"high_{h}"), F.min(F.when(inside, F.col("price"))).alias(f"low_{h}")]
-    seen = joined.groupBy("call_id").agg(*aggs)
+        inside = F.col("to_t") <= F.col("entry_t") + s * S
+        aggs += [F.max_by(F.when(inside, F.col("close")), F.when(inside, F.col("last"))).alias(f"last_{h}"), F.max(F.when(inside, F.col("high"))).alias(f"high_{h}"), F.min(F.when(inside, F.col("low"))).alias(f"low_{h}")]
+    seen = pieces(trades, entries).groupBy("call_id").agg(*aggs)
     rows = seen.select("call_id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"last_{h}").alias("last"), F.col(f"high_{h}").alias("high"), F.col(f"low_{h}").alias("low")) for h in HORIZONS])).alias("x")).select("call_id", "x.*")
     pct = lambda c: F.round((F.col(c) / F.col("entry_price") - 1) * 100, 6)
     ready = F.col("due_t") <= now_t
@@ -66,7 +113,7 @@ def horizon_returns(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFr
 def horizon_timing(trades: DataFrame, entries: DataFrame, horizon: str = "7d") -> DataFrame:
     """Seconds to the peak, to the first price of twice the entry, and how long it was held; censored if still above."""
     end = HORIZONS[horizon] * S
-    joined = entries.where("entry_price > 0").join(trades.select("token", "t", "seq", "price"), "token").where(f"t > entry_t and t <= entry_t + {end}")
+    joined = within(entries.where("entry_price > 0"), trades.select("token", "t", "seq", "price"), 0, HORIZONS[horizon]).where(f"t > entry_t and t <= entry_t + {end}")
     w = Window.partitionBy("call_id").orderBy("t", "seq")
     steps = joined.withColumn("until", F.coalesce(F.lead("t").over(w), F.col("entry_t") + end)).withColumn("above", F.col("price") >= 2 * F.col("entry_price"))
     every = Window.partitionBy("call_id")
@@ -82,22 +129,29 @@ def horizon_timing(trades: DataFrame, entries: DataFrame, horizon: str = "7d") -
     )
 
 
-def precall(events: DataFrame, calls: DataFrame, minutes: tuple[int, ...] = (60, 360, 1440)) -> DataFrame:
-    """Events, purchases and volume in the minutes before a call, (t - m, t], and the price change over each window."""
-    longest = max(minutes) * 60 * S
-    joined = calls.join(events.select("token", "t", "seq", "kind", "price"), "token", "left").withColumn("ago", F.col("entry_t") - F.col("t")).where(f"ago is null or (ago >= 0 and ago < {longest})")
-    missing = calls.select("call_id")
-    aggs = []
+def precall(events: DataFrame, calls: DataFrame, minutes: tuple[int, ...] = (5, 15, 60)) -> DataFrame:
+    """Swaps, buys, sells, volumes and price change in the minutes before a call, (entry - m, entry], from the last hour.
+
+    The price change is against the last price at or before the window's start, or, where the hour has none, the first
+    price in it. first_trade_age_s is the age of the first price in the hour. events: token, t, seq, price and side (buy,
+    sell, or null for what isn't a trade), amount.
+    """
+    longest = max(minutes) * 60
+    rows = events.where("price > 0").select("token", "t", "seq", "price", "side", "amount")
+    joined = within(calls.select("call_id", "token", "entry_t"), rows, longest, 0).withColumn("ago", F.col("entry_t") - F.col("t")).where(f"ago >= 0 and ago <= {longest * S}")
+    at = F.struct("t", "seq")
+    aggs = [(F.max("ago") / S).alias("first_trade_age_s"), F.max_by("price", at).alias("_last")]
     for m in minutes:
         inside = F.col("ago") < m * 60 * S
-        aggs += [
-            F.count_if(inside).alias(f"n_{m}m"),
-            F.count_if(inside & (F.col("kind") == "purchase")).alias(f"buys_{m}m"),
-            F.round(F.coalesce(F.sum(F.when(inside & (F.col("kind") == "purchase"), F.col("price"))), F.lit(0.0)), 4).alias(f"volume_{m}m"),
-        ]
+        side = lambda x: inside & (F.col("side") == x)  # noqa: B023, E731
+        volume = lambda x: F.round(F.coalesce(F.sum(F.when(side(x), F.col("amount"))), F.lit(0.0)), 4)  # noqa: B023, E731
+        aggs += [F.count_if(inside).alias(f"swaps_{m}m"), F.count_if(side("buy")).alias(f"buys_{m}m"), F.count_if(side("sell")).alias(f"sells_{m}m"), volume("buy").alias(f"buy_vol_{m}m"), volume("sell").alias(f"sell_vol_{m}m")]
+        aggs += [F.coalesce(F.max_by(F.when(~inside, F.col("price")), F.when(~inside, at)), F.min_by("price", at)).alias(f"_ref{m}")]
     found = joined.groupBy("call_id").agg(*aggs)
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in found.columns if c != "call_id"]
-    return missing.join(found, "call_id", "left").select("call_id", *zero)
+    found = found.withColumns({f"price_chg_{m}m": F.round((F.col("_last") / F.col(f"_ref{m}") - 1) * 100, 6) for m in minutes})
+    counts = [f"{c}_{m}m" for m in minutes for c in ("swaps", "buys", "sells", "buy_vol", "sell_vol")]
+    shown = [F.coalesce(c, F.lit(0)).alias(c) for c in counts]
+    return calls.select("call_id").join(found, "call_id", "left").select("call_id", "first_trade_age_s", *shown, *[f"price_chg_{m}m" for m in minutes])
 
 
 def trades_24h(five_minutes: DataFrame, calls: DataFrame, now_t: int) -> DataFrame:

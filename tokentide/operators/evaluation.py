@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentide.functions.expressions import EXTREME, net_pct, wilson
+from tokentide.functions.ranks import running
 
 
 def labels(returns: DataFrame, horizon: str = "7d") -> DataFrame:
-    """Net return, runner (at least +100 % net) and collapse (at most -50 %); null where the result is missing or extreme."""
+    """Net return, runner (at least +50 % net) and collapse (at most -70 %) of the 7-day bucket; null where the result is
+    missing or extreme. `labels.build_labels` has all four buckets and the rules of use.
+    """
     rows = returns.where(F.col("horizon") == horizon)
     usable = F.col("return_pct").isNotNull() & ~F.isnan("return_pct") & (F.col("return_pct") <= EXTREME)
     net = F.when(usable, net_pct(F.col("return_pct"), F.col("tax_pct"), F.col("tax_pct")))
-    return rows.select("call_id", usable.alias("usable"), F.round(net, 6).alias("net_pct"), (net >= 50).cast("int").alias("runner"), (net <= -50).cast("int").alias("collapse"))
+    return rows.select("call_id", usable.alias("usable"), F.round(net, 6).alias("net_pct"), (net >= 50).cast("int").alias("runner"), (net <= -70).cast("int").alias("collapse"))
 
 
 def wallet_history(buys: DataFrame, calls: DataFrame, outcomes: DataFrame, delay_us: int) -> DataFrame:
@@ -66,53 +69,62 @@ def time_split(rows: DataFrame, time: str, key: str, token: str, embargo_us: int
     return joined.select(key, F.when(cause.isNull(), own).alias("part"), cause.alias("dropped"))
 
 
+def _per_score(scored: DataFrame, y: str, s: str, by: list[str]) -> DataFrame:
+    """pos and n of each distinct score."""
+    return scored.where(F.col(y).isNotNull() & F.col(s).isNotNull()).groupBy(*by, s).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+
+
 def auc(scored: DataFrame, y: str, s: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with ties at one half, from counts per distinct score; null with one class only."""
     by = by or []
-    counts = scored.where(F.col(y).isNotNull() & F.col(s).isNotNull()).groupBy(*by, s).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy(s)
-    neg = F.col("n") - F.col("pos")
-    wins = F.col("pos") * (F.coalesce(F.sum(neg).over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + neg / 2)
-    sums = counts.withColumn("wins", wins).groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
+    counts = _per_score(scored, y, s, by).withColumn("neg", F.col("n") - F.col("pos"))
+    wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
+    sums = running(counts, s, ["neg"], by).groupBy(*by).agg(F.sum(wins).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return sums.select(*by, "pos", "neg", F.round(F.try_divide("wins", F.col("pos") * F.col("neg")), 6).alias("auc"))
 
 
-def average_precision(scored: DataFrame, y: str, s: str) -> DataFrame:
+def average_precision(scored: DataFrame, y: str, s: str, by: list[str] | None = None) -> DataFrame:
     """Area under the precision-recall steps over distinct scores, highest first."""
-    counts = scored.groupBy(s).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(s))
-    precision = F.sum("pos").over(down) / F.sum("n").over(down)
-    return counts.withColumn("p", precision).agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("pos")), F.sum("pos")), 6).alias("average_precision"))
+    by = by or []
+    steps = running(_per_score(scored, y, s, by), s, ["pos", "n"], by, down=True).withColumn("p", F.col("pos_upto") / F.col("n_upto"))
+    return steps.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("pos")), F.sum("pos")), 6).alias("average_precision"))
 
 
-def top_share(scored: DataFrame, y: str, s: str, key: str, share: float) -> DataFrame:
-    """Hits among the ceil(share x n) highest scores (ties by key), the lift over all rows, and the interval of the share.
+def top_rows(scored: DataFrame, s: str, key: str, share: float, by: list[str] | None = None) -> DataFrame:
+    """scored with `top`: among the ceil(share x n) highest scores of its group (at least one row; ties by key).
 
-    The score of the last place is found from counts per score, so no window runs over all rows; only the rows that tie
-    with it are ordered.
+    The score of the last place is found from counts per score; only the rows that tie with it are ordered.
     """
-    rows = scored.where(F.col(y).isNotNull() & F.col(s).isNotNull())
-    counts = rows.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(s))
-    whole = Window.partitionBy(F.lit(0))
-    counts = counts.withColumns({"upto": F.sum("n").over(down), "won": F.sum("pos").over(down), "all": F.sum("n").over(whole), "all_pos": F.sum("pos").over(whole)})
-    counts = counts.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("all") * share)))
-    edge = counts.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
-    edge = edge.select(F.col(s).alias("_s"), "k", "all", "all_pos", (F.col("k") - F.col("upto") + F.col("n")).alias("_need"), (F.col("won") - F.col("pos")).alias("_above"))
-    tied = rows.join(F.broadcast(edge), F.col(s) == F.col("_s")).withColumn("_n", F.row_number().over(Window.partitionBy(s).orderBy(key))).where("_n <= _need")  # one row
-    hits = tied.groupBy("k", "all", "all_pos", "_above").agg(F.sum(F.col(y).cast("long")).alias("_hit"))
+    by = by or []
+    rows = scored.where(F.col(s).isNotNull())
+    counts = running(rows.groupBy(*by, s).agg(F.count(F.lit(1)).alias("n")), s, ["n"], by, down=True)
+    k = F.greatest(F.lit(1), F.ceil(F.col("n_all") * share))
+    edge = counts.where((F.col("n_upto") >= k) & (F.col("n_upto") - F.col("n") < k)).select(*[F.col(c).alias(f"_e{c}") for c in by], F.col(s).alias("_edge"), (k - F.col("n_upto") + F.col("n")).alias("_need"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_e{c}"))
+    met = rows.join(edge, same) if by else rows.crossJoin(F.broadcast(edge))  # one row a group
+    # rows that don't tie with the edge are dealt by key: their place isn't asked for
+    tie = F.col(s) == F.col("_edge")
+    place = F.row_number().over(Window.partitionBy(*by, tie, F.when(~tie, F.xxhash64(key))).orderBy(key))
+    return met.withColumn("top", (F.col(s) > F.col("_edge")) | (tie & (place <= F.col("_need")))).select(*scored.columns, "top")
+
+
+def top_share(scored: DataFrame, y: str, s: str, key: str, share: float) -> DataFrame:
+    """Hits among the ceil(share x n) highest scores (ties by key), the lift over all rows, and the interval of the share."""
+    rows = top_rows(scored.where(F.col(y).isNotNull()), s, key, share)
+    one = F.col(y).cast("long")
+    out = rows.agg(F.count_if("top").alias("k"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("top"), one)).alias("hits"), F.sum(one).alias("all_pos"))
     low, high = wilson(F.col("hits"), F.col("k"))
-    out = hits.withColumn("hits", F.col("_above") + F.col("_hit"))
-    lift = F.try_divide(F.col("hits") / F.col("k"), F.col("all_pos") / F.col("all"))
-    return out.select(F.col("k").cast("long").alias("k"), F.col("all").alias("n"), F.col("hits").cast("long").alias("hits"), F.round(lift, 6).alias("lift"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    lift = F.try_divide(F.col("hits") / F.col("k"), F.col("all_pos") / F.col("n"))
+    return out.where("n > 0").select("k", "n", "hits", F.round(lift, 6).alias("lift"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks of ties, from counts per value."""
     def ranked(d: DataFrame, c: str) -> DataFrame:
-        n = d.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(c))
-        return d.join(n.select(c, (upto - (F.col("_n") - 1) / 2).alias(f"_r{c}")), c)
+        n = running(d.groupBy(c).agg(F.count(F.lit(1)).alias("_n")), c, ["_n"])
+        return d.join(n.select(c, (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(f"_r{c}")), c)
 
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     return ranked(ranked(rows, a), b).agg(F.round(F.corr(f"_r{a}", f"_r{b}"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
@@ -138,9 +150,7 @@ def bootstrap_lift(weeks: DataFrame, reps: int = 500, seed: int = 7) -> DataFram
 def calibration(scored: DataFrame, y: str, s: str, key: str) -> DataFrame:
     """Ten groups by score with linear rank cuts, ties by key."""
     rows = scored.where(F.col(y).isNotNull() & F.col(s).isNotNull()).select(key, y, s)
-    counts = rows.groupBy(s).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(s))
-    counts = counts.select(s, (upto - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("m"))
-    r = rows.withColumn("in", F.row_number().over(Window.partitionBy(s).orderBy(key))).join(counts, s).withColumn("r", F.col("before") + F.col("in"))
-    group = F.when(F.col("m") > 1, F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * 10 / (F.col("m") - 1)))).otherwise(1)
+    counts = running(rows.groupBy(s).agg(F.count(F.lit(1)).alias("c")), s, ["c"])
+    r = rows.withColumn("in", F.row_number().over(Window.partitionBy(s).orderBy(key))).join(counts, s).withColumn("r", F.col("c_upto") - F.col("c") + F.col("in"))
+    group = F.when(F.col("c_all") > 1, F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * 10 / (F.col("c_all") - 1)))).otherwise(1)
     return r.groupBy(group.cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 6).alias("mean_score"), F.round(F.avg(F.col(y).cast("double")), 6).alias("rate"))

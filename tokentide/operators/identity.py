@@ -61,6 +61,12 @@ def tier_volume(buys: DataFrame) -> DataFrame:
     return buys.groupBy("call_id").agg(*[x for t in ("elite", "good") for x in (F.count_if(F.col("tier") == t).alias(f"{t}_count"), F.round(F.sum(F.when(F.col("tier") == t, amount).otherwise(0.0)), 4).alias(f"{t}_usd"))])
 
 
+def pivot_measures(results: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row per call: each measure of each horizon as <short name>_<horizon>, done results only."""
+    cell = lambda m, h: F.max(F.when((F.col("horizon") == h) & (F.col("status") == "done"), F.col(m))).alias(f"{names[m]}_{h}")
+    return results.groupBy("call_id").agg(*[cell(m, h) for m in names for h in HORIZONS])
+
+
 def pivot_returns(returns: DataFrame) -> DataFrame:
     return returns.groupBy("call_id").agg(*[F.max(F.when(F.col("horizon") == h, F.col("return_pct"))).alias(f"ret_{h}") for h in HORIZONS])
 

@@ -10,6 +10,7 @@ from tokentide.operators.asof import as_of
 from tokentide.plans import domain as d
 from tokentide.plans.book import query
 from tokentide.plans.domain import with_tables
+from tokentide.sources import tables
 
 NOW_T = 1706659200 * 1_000_000
 FIRST = "firsts AS (SELECT * FROM calls WHERE post_kind IS DISTINCT FROM 'update' QUALIFY row_number() OVER (PARTITION BY lower(token) ORDER BY message_date, call_id) = 1)"
@@ -85,7 +86,7 @@ def next_report(spark: SparkSession, sf: str) -> DataFrame:
 
 CANDLES = """candles AS (SELECT call_id, interval_s, CAST(floor(t / 1e6 / interval_s) * interval_s AS BIGINT) AS bucket_s, arg_min(price, (t, seq)) AS open, max(price) AS high,
     min(price) AS low, arg_max(price, (t, seq)) AS close, count(*) AS events
-  FROM event_calls c JOIN trades USING (token) CROSS JOIN (VALUES (300), (3600)) v(interval_s) WHERE t >= entry_t AND (interval_s = 3600 OR t < entry_t + 86400000000) GROUP BY 1, 2, 3)"""
+  FROM event_calls c JOIN trades USING (token) CROSS JOIN (VALUES (300), (3600)) v(interval_s) WHERE t >= entry_t AND t < entry_t + CASE interval_s WHEN 300 THEN 86400000000 ELSE 2592000000000 END GROUP BY 1, 2, 3)"""
 
 
 @query(with_tables("price_events", "event_calls", "trades") + f", {CANDLES} SELECT * FROM candles")
@@ -141,32 +142,51 @@ def horizon_timing(spark: SparkSession, sf: str) -> DataFrame:
     return candles.horizon_timing(trades, candles.entry_price(trades, d.calls_on_events(spark, sf)))
 
 
-PRECALL = "SELECT c.call_id, " + ", ".join(
-    f"count(*) FILTER (entry_t - t >= 0 AND entry_t - t < {m * 60000000}) AS n_{m}m, count(*) FILTER (entry_t - t >= 0 AND entry_t - t < {m * 60000000} AND kind = 'purchase') AS buys_{m}m, "
-    f"round(coalesce(sum(price) FILTER (entry_t - t >= 0 AND entry_t - t < {m * 60000000} AND kind = 'purchase'), 0), 4) AS volume_{m}m"
-    for m in (60, 360, 1440)
-) + " FROM event_calls c LEFT JOIN price_events p USING (token) GROUP BY 1"
+PRECALL = """SELECT c.call_id, x.* EXCLUDE (cid) REPLACE (""" + ", ".join(f"coalesce({c}_{m}m, 0) AS {c}_{m}m" for m in (5, 15, 60) for c in ("swaps", "buys", "sells", "buy_vol", "sell_vol")) + """)
+  FROM event_calls c LEFT JOIN (SELECT call_id AS cid, (max(entry_t - t)) / 1e6 AS first_trade_age_s, """ + ", ".join(
+    f"count(*) FILTER (ago < {m * 60000000}) AS swaps_{m}m, count(*) FILTER (ago < {m * 60000000} AND kind = 'purchase') AS buys_{m}m, count(*) FILTER (ago < {m * 60000000} AND kind = 'click') AS sells_{m}m, "
+    f"round(coalesce(sum(price) FILTER (ago < {m * 60000000} AND kind = 'purchase'), 0), 4) AS buy_vol_{m}m, round(coalesce(sum(price) FILTER (ago < {m * 60000000} AND kind = 'click'), 0), 4) AS sell_vol_{m}m, "
+    f"round((arg_max(price, (t, seq)) / coalesce(arg_max(price, (t, seq)) FILTER (ago >= {m * 60000000}), arg_min(price, (t, seq))) - 1) * 100, 6) AS price_chg_{m}m"
+    for m in (5, 15, 60)
+) + """ FROM (SELECT c.call_id, c.entry_t, p.t, p.seq, p.kind, p.price, c.entry_t - p.t AS ago FROM event_calls c JOIN price_events p USING (token) WHERE p.price > 0 AND c.entry_t - p.t BETWEEN 0 AND 3600000000) GROUP BY 1) x ON x.cid = c.call_id"""
 
 
 @query(with_tables("price_events", "event_calls") + " " + PRECALL)
 def precall_activity(spark: SparkSession, sf: str) -> DataFrame:
-    return candles.precall(d.price_events(spark, sf).drop("ts"), d.calls_on_events(spark, sf))
+    return candles.precall(d.pool_activity(spark, sf), d.calls_on_events(spark, sf))
 
 
-@query(with_tables("price_events", "event_calls", "trades", "inv") + f""", {ENTRY}, {RETURNS}, verdicts AS ({VERDICT}), pre AS ({PRECALL})
-  SELECT e.call_id, e.token, e.entry_price, e.entry_source, v.verdict, p.n_60m, p.volume_1440m, """ + ", ".join(f"max(r.return_pct) FILTER (r.horizon = '{h}') AS \"ret_{h}\"" for h in d.HORIZONS) + """
-  FROM entries e LEFT JOIN verdicts v USING (call_id) LEFT JOIN pre p USING (call_id) LEFT JOIN results r USING (call_id) GROUP BY 1, 2, 3, 4, 5, 6, 7""")
-def training_view(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per call: entry, the verdict known then, activity before it, and returns of each horizon."""
-    trades, calls = d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf)
-    entries = candles.entry_price(trades, calls)
-    wide = identity.pivot_returns(candles.horizon_returns(trades, entries, NOW_T))
-    pre = candles.precall(d.price_events(spark, sf).drop("ts"), calls).select("call_id", "n_60m", "volume_1440m")
-    rows = entries.drop("entry_t").join(verdict_at_call(spark, sf).drop("requested_t"), "call_id", "left").join(pre, "call_id", "left").join(wide, "call_id", "left")
-    return rows.select("call_id", "token", "entry_price", "entry_source", "verdict", "n_60m", "volume_1440m", *[f"ret_{h}" for h in d.HORIZONS])
+BUSY_CALLS = "busy AS (SELECT call_id, count(*) OVER (ORDER BY entry_t RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS calls_prev_1h, count(*) OVER (ORDER BY entry_t RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING) AS calls_prev_24h FROM event_calls)"
+PRIOR_CALLS = """prior AS (SELECT call_id, count(*) OVER w AS prior_calls, (entry_t - max(entry_t) OVER w) / 1e6 AS since_prior_s FROM event_calls
+  WINDOW w AS (PARTITION BY token ORDER BY entry_t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+LIVE = """live AS (SELECT call_id, max(price) FILTER (kind = 'purchase') AS largest_buy_usd FROM event_calls c JOIN price_events p ON p.token = c.token AND p.t > c.entry_t - 3600000000 AND p.t <= c.entry_t GROUP BY 1)"""
+MEASURES = ("return_pct", "max_gain_pct", "max_drawdown_pct")
+SHORT = {"return_pct": "ret", "max_gain_pct": "max_gain", "max_drawdown_pct": "max_dd"}
 
 
-LABELS = """labels_ AS (SELECT call_id, usable, round(net, 6) AS net_pct, CAST(net >= 50 AS INT) AS runner, CAST(net <= -50 AS INT) AS collapse
+@query(with_tables("price_events", "event_calls", "trades", "inv") + f""", {CANDLES}, {ENTRY}, {RETURNS}, {BUSY_CALLS}, {PRIOR_CALLS}, {LIVE}, verdicts AS ({VERDICT}), pre AS ({PRECALL}),
+  t24 AS (SELECT c.call_id, CAST(CASE WHEN entry_t + 86400000000 <= {NOW_T} THEN coalesce(n, 0) END AS BIGINT) AS trades_24h FROM event_calls c LEFT JOIN (SELECT call_id, sum(events) AS n FROM candles WHERE interval_s = 300 GROUP BY 1) x USING (call_id)),
+  wide AS (SELECT call_id, """ + ", ".join(f"max({m}) FILTER (horizon = '{h}') AS \"{SHORT[m]}_{h}\"" for m in MEASURES for h in d.HORIZONS) + """ FROM results GROUP BY 1)
+  SELECT e.call_id, e.token, e.entry_price, e.entry_source, b.calls_prev_1h, b.calls_prev_24h, p.prior_calls, p.since_prior_s, l.largest_buy_usd, v.verdict, pre.* EXCLUDE (call_id), t24.trades_24h, wide.* EXCLUDE (call_id)
+  FROM entries e LEFT JOIN busy b USING (call_id) LEFT JOIN prior p USING (call_id) LEFT JOIN live l USING (call_id) LEFT JOIN verdicts v USING (call_id) LEFT JOIN pre USING (call_id) LEFT JOIN t24 USING (call_id) LEFT JOIN wide USING (call_id)""")
+def training_view(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per call: entry, how busy it was, earlier calls, the largest buy, the verdict known then, activity before it, trades of its first day, and return, peak and drawdown of each horizon."""
+    trades, calls = d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf)
+    entries = tables.written(candles.entry_price(trades, calls))  # read three times
+    wide = identity.pivot_measures(candles.horizon_returns(trades, entries, NOW_T), SHORT)
+    pre = candles.precall(d.pool_activity(spark, sf), calls)
+    busy = identity.busyness(calls, "call_id", "entry_t").withColumnsRenamed({"rows_1h": "calls_prev_1h", "rows_24h": "calls_prev_24h"})
+    prior = identity.prior_calls(calls.withColumn("message_date", F.col("entry_at").cast("timestamp")))
+    near = candles.within(calls, d.price_events(spark, sf).where("kind = 'purchase'").select("token", "t", "price"), 3600, 0).where("t > entry_t - 3600000000 and t <= entry_t")
+    live = near.groupBy("call_id").agg(F.max("price").alias("largest_buy_usd"))
+    day = candles.trades_24h(candles.candles(trades, calls), calls, NOW_T)
+    rows = entries.drop("entry_t")
+    for side in (busy, prior, live, verdict_at_call(spark, sf).drop("requested_t"), pre, day, wide):
+        rows = rows.join(side, "call_id", "left")
+    return rows
+
+
+LABELS = """labels_ AS (SELECT call_id, usable, round(net, 6) AS net_pct, CAST(net >= 50 AS INT) AS runner, CAST(net <= -70 AS INT) AS collapse
   FROM (SELECT call_id, return_pct IS NOT NULL AND return_pct <= 1e5 AS usable, ((1 + return_pct / 100) * (1 - coalesce(tax_pct, 0) / 100) * (1 - coalesce(tax_pct, 0) / 100) - 1) * 100 AS net FROM returns WHERE horizon = '7d'))"""
 
 
@@ -274,13 +294,13 @@ def equal_count_groups(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.equal_count_groups(d.read(spark, sf, "lineitem"), "l_discount", 4, 0.05)
 
 
-@query(with_tables("returns") + """, b AS (SELECT CAST((return_pct > -90)::INT + (return_pct > -50)::INT + (return_pct > -20)::INT + (return_pct > 0)::INT + (return_pct >= 20)::INT + (return_pct >= 50)::INT + (return_pct >= 100)::INT + (return_pct >= 400)::INT AS INT) AS band FROM returns)
+@query(with_tables("returns") + """, b AS (SELECT CAST((return_pct > -75)::INT + (return_pct > -50)::INT + (return_pct > -25)::INT + (return_pct > 0)::INT + (return_pct >= 25)::INT + (return_pct >= 50)::INT + (return_pct >= 100)::INT + (return_pct >= 300)::INT AS INT) AS band FROM returns)
   SELECT CAST(r.range AS INT) AS band, count(b.band) AS n FROM range(9) r LEFT JOIN b ON b.band = r.range GROUP BY 1""")
 def return_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.histogram(d.returns(spark, sf))
 
 
-@query(with_tables("returns") + """ SELECT horizon, CASE WHEN tax_pct >= 8 THEN 'rugged' WHEN return_pct <= -50 THEN 'collapse' WHEN return_pct < 0 THEN 'loss' WHEN return_pct < 100 THEN 'gain' ELSE 'runner' END AS outcome, count(*) AS n FROM returns GROUP BY 1, 2""")
+@query(with_tables("returns") + """ SELECT horizon, CASE WHEN tax_pct >= 8 THEN 'rugged' WHEN return_pct <= -50 THEN 'collapse' WHEN return_pct <= 0 THEN 'loss' WHEN return_pct < 100 THEN 'gain' ELSE 'runner' END AS outcome, count(*) AS n FROM returns GROUP BY 1, 2""")
 def outcome_mix(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.outcome_mix(d.returns(spark, sf), ["horizon"], F.col("return_pct"), F.col("tax_pct") >= 8)
 

@@ -36,6 +36,12 @@ def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("token"), "ts", seconds("ts").alias("t"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("value").alias("price"))
 
 
+def pool_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All price events with the side that a trade has, and its amount."""
+    side = F.when(F.col("kind") == "purchase", "buy").when(F.col("kind") == "click", "sell")
+    return price_events(spark, sf_dir).select("token", "t", "seq", "price", side.alias("side"), F.col("price").alias("amount"))
+
+
 def calls_on_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return price_events(spark, sf_dir).where("kind = 'signup'").select(F.col("seq").alias("call_id"), "token", F.col("ts").alias("entry_at"), F.col("t").alias("entry_t"))
 
@@ -48,8 +54,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per call and horizon: return in percent, tax in percent; repeated rows collapse to the largest."""
     names = list(HORIZONS)
-    line = read(spark, sf_dir, "lineitem").where("l_linenumber <= 5")
-    horizon = F.element_at(F.array(*map(F.lit, names)), F.col("l_linenumber").cast("int"))
+    line = read(spark, sf_dir, "lineitem")
+    horizon = F.element_at(F.array(*map(F.lit, names)), F.pmod(F.col("l_linenumber") - 1, F.lit(len(names))).cast("int") + 1)
     return (
         line.groupBy(F.col("l_orderkey").alias("call_id"), horizon.alias("horizon"))
         .agg(F.max(F.round((F.col("l_discount") - 0.05) * 2000, 6)).alias("return_pct"), F.max(F.round(F.col("l_tax") * 100, 6)).alias("tax_pct"))
@@ -74,8 +80,8 @@ SQL = {
     "price_events": """price_events AS (SELECT user_id AS token, ts, epoch_us(ts) AS t, event_id AS seq, event_type AS kind, value AS price FROM events)""",
     "event_calls": """event_calls AS (SELECT seq AS call_id, token, ts AS entry_at, t AS entry_t FROM price_events WHERE kind = 'signup')""",
     "trades": """trades AS (SELECT * FROM price_events WHERE kind IN ('view', 'click', 'purchase') AND price > 0)""",
-    "returns": """returns AS (SELECT l_orderkey AS call_id, ['1h', '1d', '3d', '7d', '30d'][l_linenumber] AS horizon,
-      max(round((l_discount - 0.05) * 2000, 6)) AS return_pct, max(round(l_tax * 100, 6)) AS tax_pct FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2)""",
+    "returns": """returns AS (SELECT l_orderkey AS call_id, ['1h', '1d', '3d', '7d', '30d'][(l_linenumber - 1) % 5 + 1] AS horizon,
+      max(round((l_discount - 0.05) * 2000, 6)) AS return_pct, max(round(l_tax * 100, 6)) AS tax_pct FROM lineitem GROUP BY 1, 2)""",
     "buys": """buys AS (SELECT l_orderkey AS call_id, l_suppkey AS wallet, l_extendedprice AS amount_usd,
       CASE l_returnflag WHEN 'A' THEN 'elite' WHEN 'R' THEN 'good' END AS tier FROM lineitem)""",
     "inv": """inv AS (SELECT seq AS id, token, t AS requested_t, CASE kind WHEN 'view' THEN 'clean' WHEN 'click' THEN 'caution' ELSE 'red_flags' END AS verdict

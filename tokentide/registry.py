@@ -11,9 +11,9 @@ assert post_queries and chain_queries and lane_queries and position_queries  # t
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = ENTRY_DATA) -> DataFrame:
     """The training view: one row per call with everything known at that moment, and its returns."""
-    return call_queries.training_view(spark, ENTRY_DATA)
+    return call_queries.training_view(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
