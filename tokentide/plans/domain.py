@@ -91,3 +91,49 @@ SQL = {
 
 def with_tables(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names)
+
+
+#: One row per posted call with what is known of it, as a projection of orders and their lines, for the label, feature,
+#: split and list queries. Plain SQL that Spark and other engines read alike.
+FACTS = """SELECT o.o_orderkey AS call_id, o.o_custkey AS token, o.o_orderdate AS message_date,
+    CASE WHEN o.o_orderpriority = '5-LOW' THEN NULL WHEN o.o_orderstatus = 'P' THEN 'update' ELSE 'call' END AS post_kind,
+    CASE o.o_orderkey % 11 WHEN 0 THEN 'no_pool' WHEN 1 THEN 'repeat' WHEN 2 THEN 'tracking' WHEN 3 THEN 'gave_up' WHEN 4 THEN NULL ELSE 'done' END AS tracking_status,
+    CASE WHEN o.o_orderkey % 9 = 4 THEN 'weth' ELSE 'usd' END AS price_unit,
+    o.o_orderkey % 13 = 5 AS rugged,
+    CASE o.o_orderkey % 39 WHEN 5 THEN 'event' WHEN 18 THEN 'price' WHEN 31 THEN 'at_call' END AS rug_kind,
+    CASE WHEN o.o_orderkey % 17 <> 3 THEN o.o_totalprice / 1000000 END AS entry_price,
+    CASE WHEN o.o_orderkey % 14 <> 3 THEN o.o_totalprice * (o.o_orderkey % 7) / 2000000 END AS latest_price,
+    CASE o.o_orderkey % 5 WHEN 0 THEN 'onchain-v2' WHEN 1 THEN 'onchain-v3' WHEN 2 THEN 'minute' WHEN 4 THEN 'onchain-pons' END AS entry_source,
+    CASE WHEN o.o_orderkey % 6 > 0 THEN o.o_totalprice * 3 END AS mcap_usd,
+    CASE WHEN o.o_orderkey % 8 > 0 THEN o.o_totalprice * 2 END AS called_at_mcap_usd,
+    o.o_totalprice * (o.o_orderkey % 4) AS liq_usd,
+    CASE WHEN o.o_orderkey % 10 > 2 THEN o.o_totalprice * 1000 END AS token_supply,
+    CASE WHEN o.o_orderkey % 7 > 0 THEN CAST(o.o_orderkey % 7 AS DOUBLE) END AS tax_buy_pct,
+    CASE WHEN o.o_orderkey % 10 > 0 THEN CAST(o.o_orderkey % 10 AS DOUBLE) END AS tax_sell_pct,
+    CASE o.o_orderkey % 8 WHEN 0 THEN 'Uniswap V3' WHEN 1 THEN 'uniswap_v2' WHEN 2 THEN 'Pons V2' WHEN 3 THEN 'Flap Stocks' WHEN 4 THEN ' O1 Rwa ' WHEN 5 THEN NULL WHEN 6 THEN 'Orbofi' ELSE 'UniswapV4' END AS dex,
+    CASE WHEN o.o_orderkey % 12 <> 7 THEN (o.o_orderkey * 37) % 400 END AS trades_24h,
+    CASE o.o_orderkey % 6 WHEN 0 THEN 'clean' WHEN 1 THEN 'caution' WHEN 2 THEN 'red_flags' WHEN 3 THEN 'insufficient' WHEN 4 THEN NULL ELSE 'unknown' END AS verdict,
+    (o.o_orderkey * 7) % 23 AS pre_buys, (o.o_orderkey * 5) % 19 AS pre_sells,
+    CASE WHEN o.o_orderkey % 3 > 0 THEN CAST((o.o_orderkey * 11) % 500 AS DOUBLE) END AS pre_buy_vol, CAST((o.o_orderkey * 13) % 300 AS DOUBLE) AS pre_sell_vol,
+    x.elite_usd, x.good_usd,
+    x.ret_late_1h, x.ret_late_1d, x.ret_late_3d, x.ret_late_7d, x.ret_late_30d, x.max_gain_late_1h, x.max_gain_late_1d, x.max_gain_late_3d, x.max_gain_late_7d, x.max_gain_late_30d,
+    x.above_2x_s, x.first_2x_s, x.fall_below_2x_s, x.censored
+  FROM {orders} o LEFT JOIN (
+    SELECT call_id, max(elite) AS elite_usd, max(good) AS good_usd,
+      max(CASE WHEN h = 0 THEN ret END) AS ret_late_1h, max(CASE WHEN h = 1 THEN ret END) AS ret_late_1d, max(CASE WHEN h = 2 THEN ret END) AS ret_late_3d,
+      max(CASE WHEN h = 3 THEN ret END) AS ret_late_7d, max(CASE WHEN h = 4 THEN ret END) AS ret_late_30d,
+      max(CASE WHEN h = 0 THEN peak END) AS max_gain_late_1h, max(CASE WHEN h = 1 THEN peak END) AS max_gain_late_1d, max(CASE WHEN h = 2 THEN peak END) AS max_gain_late_3d,
+      max(CASE WHEN h = 3 THEN peak END) AS max_gain_late_7d, max(CASE WHEN h = 4 THEN peak END) AS max_gain_late_30d,
+      max(CASE WHEN h = 3 THEN held END) AS above_2x_s, max(CASE WHEN h = 3 THEN first_2x END) AS first_2x_s, max(CASE WHEN h = 3 THEN fall END) AS fall_below_2x_s, max(CASE WHEN h = 3 THEN cens END) = 1 AS censored
+    FROM (SELECT l_orderkey AS call_id, (l_linenumber - 1) % 5 AS h,
+        CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN 200000.0 ELSE greatest(-100.0, round((l_discount - 0.04) * 2500 + (l_tax - 0.04) * 500, 4)) END AS ret,
+        CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN 200000.0 ELSE greatest(0.0, round((l_discount - 0.04) * 2500 + (l_tax - 0.04) * 500, 4)) + l_quantity * 3 END AS peak,
+        CAST(l_quantity * 150 AS BIGINT) AS held, CASE WHEN l_discount >= 0.05 THEN CAST(l_extendedprice AS BIGINT) % 500000 END AS first_2x,
+        CASE WHEN l_tax < 0.06 THEN CAST(l_extendedprice AS BIGINT) % 500000 + CAST(l_quantity * 100 AS BIGINT) END AS fall, CASE WHEN l_linestatus = 'F' AND l_tax >= 0.06 THEN 1 ELSE 0 END AS cens,
+        CASE WHEN l_returnflag = 'A' THEN l_extendedprice END AS elite, CASE WHEN l_returnflag = 'R' THEN l_extendedprice END AS good
+      FROM {lineitem}) l GROUP BY call_id) x ON x.call_id = o.o_orderkey"""
+SQL["facts"] = "facts AS (" + FACTS.format(orders="orders", lineitem="lineitem") + ")"
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FACTS, orders=read(spark, sf_dir, "orders"), lineitem=read(spark, sf_dir, "lineitem"))
