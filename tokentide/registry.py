@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.plans import call_queries, chain_queries, label_queries, lane_queries, position_queries, post_queries
+from tokentide.plans import call_queries, chain_queries, label_queries, lane_queries, position_queries, post_queries, score_queries
 from tokentide.plans.book import QUERIES, SQL, Query
 
-assert label_queries and post_queries and chain_queries and lane_queries and position_queries  # they register their queries as they are imported
+assert label_queries and score_queries and post_queries and chain_queries and lane_queries and position_queries  # they register their queries as they are imported
 ENTRY_DATA = "/root/testdata/sf0.001"
 
 
