@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentide.operators.asof import as_of
@@ -158,3 +158,63 @@ def trades_24h(five_minutes: DataFrame, calls: DataFrame, now_t: int) -> DataFra
     """Trades of a call's first day from its 5-minute candles; null until the day is over, 0 for none."""
     n = five_minutes.where("interval_s = 300").groupBy("call_id").agg(F.sum("events").alias("n"))
     return calls.join(n, "call_id", "left").select("call_id", F.when(F.col("entry_t") + DAY * S <= now_t, F.coalesce("n", F.lit(0))).alias("trades_24h"))
+
+
+def from_arrays(rows: DataFrame, candles: str) -> DataFrame:
+    """Candles of arrays [start, open, high, low, close, ...]: entries of fewer than five numbers go, the rest in order of start."""
+    whole = F.array_sort(F.filter(candles, lambda c: F.size(c) >= 5))
+    exploded = rows.select(*[c for c in rows.columns if c != candles], F.posexplode(whole).alias("pos", "c"))
+    return exploded.select(*[c for c in rows.columns if c != candles], "pos", F.col("c")[0].cast("long").alias("bucket_s"), *[F.col("c")[i + 1].alias(n) for i, n in enumerate(("open", "high", "low", "close"))])
+
+
+def scaled(hourly: DataFrame, rates: DataFrame, quote: str) -> DataFrame:
+    """Prices of candles in USD, by the rate of the candle's hour; a candle without a rate goes."""
+    hour = lambda c: (F.floor(F.col(c) / 3600) * 3600).cast("long")
+    joined = hourly.withColumn("_hour", hour("bucket_s")).join(rates.select(F.col(quote), F.col("hour_s").alias("_hour"), "usd"), [quote, "_hour"])
+    return joined.select(*[c for c in hourly.columns if c not in ("open", "high", "low", "close")], *[(F.col(c) * F.col("usd")).alias(c) for c in ("open", "high", "low", "close")])
+
+
+def scaled_precall(pre: DataFrame, usd: Column) -> DataFrame:
+    """Volumes in USD with their unit; where the rate is missing they stay in the quote's unit."""
+    volumes = [c for c in pre.columns if "_vol_" in c]
+    return pre.withColumns({**{c: F.round(F.col(c) * F.coalesce(usd, F.lit(1.0)), 4) for c in volumes}, "vol_unit": F.when(usd.isNotNull(), "usd").otherwise("quote")})
+
+
+def entry_from_candles(candles: DataFrame, calls: DataFrame, period: int, stale: int) -> DataFrame:
+    """Close of the candle a call falls in or the last before it, if fresh enough, else the open of the first after it, if near."""
+    limit = (period + stale) * S
+    rows = candles.select("token", (F.col("bucket_s") * S).alias("_bt"), F.col("bucket_s"), F.col("close").alias("_close"))
+    after = candles.select("token", (F.col("bucket_s") * S).alias("_at"), F.col("bucket_s"), F.col("open").alias("_open"))
+    found = as_of(calls.select("call_id", "token", "entry_t"), rows, "token", "entry_t", "_bt", ["_bt", "_close"], "bucket_s")
+    found = as_of(found, after, "token", "entry_t", "_at", ["_at", "_open"], "bucket_s", strict=True, forward=True)
+    whole = lambda t: F.floor(t / S) * S
+    fresh = F.when((whole(F.col("entry_t")) - F.col("_bt") <= limit) & (F.col("_close") > 0), F.col("_close"))
+    near = F.when((F.col("_at") - whole(F.col("entry_t")) <= limit) & (F.col("_open") > 0), F.col("_open"))
+    return found.select("call_id", "token", "entry_t", F.coalesce(fresh, near).alias("entry_price"))
+
+
+def horizons_from_candles(hourly: DataFrame, entries: DataFrame, now_t: int) -> DataFrame:
+    """Results from a token's hourly candles: the last close before due, the highest and lowest price from the entry's hour on.
+
+    Without a trade in the window the price is flat at the last one; no_data without any candle before due.
+    """
+    entry_h = F.floor(F.col("entry_t") / (3600 * S)) * 3600
+    last = hourly.select("token", (F.col("bucket_s") * S).alias("_ct"), "bucket_s", F.col("close").alias("_last"))
+    due = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("s")) for h, s in HORIZONS.items()])).alias("x")
+    asked = entries.select("call_id", "token", "entry_t", "entry_price", due).select("call_id", "token", "entry_t", "entry_price", "x.horizon", (F.floor(F.col("entry_t") / S) * S + F.col("x.s") * F.lit(S).cast("long")).alias("due_t"))
+    ended = as_of(asked, last, "token", "due_t", "_ct", ["_last"], "bucket_s", strict=True)
+    near = within(entries.select("call_id", "token", "entry_t"), hourly.select("token", "bucket_s", "high", "low").withColumn("t", F.col("bucket_s") * S), 3600, LONGEST).where(F.col("bucket_s") >= entry_h)
+    aggs = []
+    for h, s in HORIZONS.items():
+        inside = F.col("t") < F.floor(F.col("entry_t") / S) * S + F.lit(s * S).cast("long")
+        aggs += [F.max(F.when(inside, F.col("high"))).alias(f"high_{h}"), F.min(F.when(inside & (F.col("low") > 0), F.col("low"))).alias(f"low_{h}")]
+    seen = near.groupBy("call_id").agg(*aggs)
+    rows = seen.select("call_id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"high_{h}").alias("high"), F.col(f"low_{h}").alias("low")) for h in HORIZONS])).alias("x")).select("call_id", "x.*")
+    status = F.when(F.col("due_t") > now_t, "pending").when(F.col("_last").isNull() | ~F.coalesce(F.col("entry_price") > 0, F.lit(False)), "no_data").otherwise("done")
+    pct = lambda c: F.when(status == "done", F.round((c / F.col("entry_price") - 1) * 100, 6))
+    return ended.join(rows, ["call_id", "horizon"], "left").select("call_id", "horizon", status.alias("status"), pct(F.col("_last")).alias("return_pct"), pct(F.coalesce("high", "_last")).alias("max_gain_pct"), pct(F.coalesce("low", "_last")).alias("max_drawdown_pct"))
+
+
+def timing_todo(results: DataFrame, timed: DataFrame) -> DataFrame:
+    """Done horizons that have no timing yet."""
+    return results.where("status = 'done'").select("call_id", "horizon").join(timed.select("call_id", "horizon"), ["call_id", "horizon"], "left_anti")

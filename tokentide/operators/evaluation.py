@@ -19,21 +19,35 @@ def labels(returns: DataFrame, horizon: str = "7d") -> DataFrame:
     return rows.select("call_id", usable.alias("usable"), F.round(net, 6).alias("net_pct"), (net >= 50).cast("int").alias("runner"), (net <= -70).cast("int").alias("collapse"))
 
 
-def wallet_history(buys: DataFrame, calls: DataFrame, outcomes: DataFrame, delay_us: int) -> DataFrame:
+def wallet_key(prefix: Column, suffix: Column) -> Column:
+    """The shown ends of a wallet's address in lower case; null if one is missing."""
+    return F.when((F.coalesce(prefix, F.lit("")) != "") & (F.coalesce(suffix, F.lit("")) != ""), F.concat(F.lower(prefix), F.lower(suffix)))
+
+
+def wallet_history(buys: DataFrame, calls: DataFrame, outcomes: DataFrame, delay_us: int, back_us: int | None = None) -> DataFrame:
     """For each (call, wallet): earlier calls of the wallet whose outcome was known strictly before, and how many ran.
 
-    Other calls of the same token don't count. One union, two windows over the moment an outcome became known.
+    Other calls of the same token don't count; with `back_us` only outcomes known in that time before do. One union, two
+    windows over the moment an outcome became known.
     """
     t = F.unix_micros(F.col("message_date").cast("timestamp"))
     pairs = buys.select("call_id", "wallet").distinct().join(calls.select("call_id", "token", t.alias("t")), "call_id")
     known = pairs.join(outcomes.where("runner is not null").select("call_id", "runner"), "call_id")
     rows = pairs.select("call_id", "wallet", "token", F.col("t").alias("at"), F.lit(None).cast("int").alias("runner")).unionByName(known.select(F.lit(None).cast("long").alias("call_id"), "wallet", "token", (F.col("t") + delay_us).alias("at"), "runner"))
-    before = lambda *keys: Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    start = Window.unboundedPreceding if back_us is None else -back_us
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("at").rangeBetween(start, -1)
     n = F.count("runner").over(before("wallet")) - F.count("runner").over(before("wallet", "token"))
     ran = F.coalesce(F.sum("runner").over(before("wallet")), F.lit(0)) - F.coalesce(F.sum("runner").over(before("wallet", "token")), F.lit(0))
     return rows.select("call_id", "wallet", n.alias("n"), ran.alias("ran")).where("call_id is not null")
 
 
+def wallet_coverage(history: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls of each Monday week, those with a wallet of known history, and the mean number of such wallets."""
+    per = history.groupBy("call_id").agg(F.count_if(F.col("n") > 0).alias("known"))
+    week = F.date_format(F.date_trunc("week", F.col("message_date")), "yyyy-MM-dd")
+    return calls.join(per, "call_id").groupBy(week.alias("week")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("known") > 0).alias("covered"), F.round(F.avg("known"), 6).alias("mean_known"))
+
+
 def wallet_features(history: DataFrame, base_rate: float = 0.2, weight: float = 5.0) -> DataFrame:
     """Per call: wallets, those with history, mean and best smoothed share of runners."""
     share = (F.col("ran") + base_rate * weight) / (F.col("n") + weight)

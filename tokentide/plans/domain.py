@@ -128,8 +128,8 @@ FACTS = """SELECT o.o_orderkey AS call_id, o.o_custkey AS token, o.o_orderdate A
     FROM (SELECT l_orderkey AS call_id, (l_linenumber - 1) % 5 AS h,
         CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN 200000.0 ELSE greatest(-100.0, round((l_discount - 0.04) * 2500 + (l_tax - 0.04) * 500, 4)) END AS ret,
         CASE WHEN l_quantity >= 50 AND l_discount >= 0.1 THEN 200000.0 ELSE greatest(0.0, round((l_discount - 0.04) * 2500 + (l_tax - 0.04) * 500, 4)) + l_quantity * 3 END AS peak,
-        CAST(l_quantity * 150 AS BIGINT) AS held, CASE WHEN l_discount >= 0.05 THEN CAST(l_extendedprice AS BIGINT) % 500000 END AS first_2x,
-        CASE WHEN l_tax < 0.06 THEN CAST(l_extendedprice AS BIGINT) % 500000 + CAST(l_quantity * 100 AS BIGINT) END AS fall, CASE WHEN l_linestatus = 'F' AND l_tax >= 0.06 THEN 1 ELSE 0 END AS cens,
+        CAST(l_quantity * 150 AS BIGINT) AS held, CASE WHEN l_discount >= 0.05 THEN CAST(floor(l_extendedprice) AS BIGINT) % 500000 END AS first_2x,
+        CASE WHEN l_tax < 0.06 THEN CAST(floor(l_extendedprice) AS BIGINT) % 500000 + CAST(l_quantity * 100 AS BIGINT) END AS fall, CASE WHEN l_linestatus = 'F' AND l_tax >= 0.06 THEN 1 ELSE 0 END AS cens,
         CASE WHEN l_returnflag = 'A' THEN l_extendedprice END AS elite, CASE WHEN l_returnflag = 'R' THEN l_extendedprice END AS good
       FROM {lineitem}) l GROUP BY call_id) x ON x.call_id = o.o_orderkey"""
 SQL["facts"] = "facts AS (" + FACTS.format(orders="orders", lineitem="lineitem") + ")"
@@ -137,3 +137,20 @@ SQL["facts"] = "facts AS (" + FACTS.format(orders="orders", lineitem="lineitem")
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FACTS, orders=read(spark, sf_dir, "orders"), lineitem=read(spark, sf_dir, "lineitem"))
+
+
+#: One row per answer of a report tool to a call, as a projection of conversations and orders. Plain SQL as above.
+REPORTS = """SELECT c.id, o.o_custkey AS token, CASE WHEN c.id % 4 > 0 THEN o.o_orderkey END AS call_id, o.o_orderdate AS posted_at,
+    CASE WHEN c.id % 2 = 0 THEN 'gate' ELSE 'second' END AS tool,
+    CASE c.id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'rate_limited' ELSE 'completed' END AS status,
+    CASE c.id % 5 WHEN 0 THEN 'rescan' WHEN 1 THEN 'reask' ELSE 'live' END AS scan_kind,
+    CASE WHEN c.id * 5 % 11 < 2 THEN 'clean' WHEN c.id * 5 % 11 < 4 THEN 'caution' WHEN c.id * 5 % 11 < 5 THEN 'red_flags' WHEN c.id * 5 % 11 < 8 THEN 'insufficient' WHEN c.id * 5 % 11 < 10 THEN 'unknown' END AS verdict_level,
+    CASE c.id % 9 WHEN 0 THEN '' WHEN 1 THEN ' Not enough PUBLIC signals yet' WHEN 2 THEN 'too little liquidity to say more ' WHEN 3 THEN NULL ELSE c.text END AS report_text,
+    CASE c.id % 3 WHEN 0 THEN 'see https://reports.example/r/0123456789abcdef0123456789ABCDEF?x=1' WHEN 1 THEN 'https://reports.example/none' END AS link,
+    788918400000000 + c.id * 3700000000 AS requested_t, c.id % 11 = 0 AS delivered
+  FROM (SELECT conv_id * 8 + turn AS id, text FROM {conversations}) c JOIN {orders} o ON o.o_orderkey = c.id"""
+SQL["reports"] = "reports AS (" + REPORTS.format(orders="orders", conversations="conversations") + ")"
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REPORTS, orders=read(spark, sf_dir, "orders"), conversations=read(spark, sf_dir, "conversations"))

@@ -122,13 +122,13 @@ def filter_rates(spark: SparkSession, sf: str) -> DataFrame:
     return scorecard.filter_rates(scorecard.filter_sums(flagged, F.col("top"), ["bucket"]), ["bucket"])
 
 
-@query(BASE + f""", cut AS (SELECT bucket, quantile_cont(collapse_score, 0.7) AS cutoff FROM scored WHERE message_date < TIMESTAMP '2000-01-01' GROUP BY 1), f AS (SELECT s.*, collapse_score >= cutoff AS skip, round(cutoff, 6) AS cutoff FROM scored s JOIN cut USING (bucket) WHERE message_date >= TIMESTAMP '2000-01-01')
+@query(BASE + f""", cut AS (SELECT bucket, quantile_cont(collapse_score, 0.7) AS cutoff FROM scored WHERE message_date < TIMESTAMP '1995-10-01' GROUP BY 1), f AS (SELECT s.*, collapse_score >= cutoff AS skip, round(cutoff, 6) AS cutoff FROM scored s JOIN cut USING (bucket) WHERE message_date >= TIMESTAMP '1995-10-01')
   {_rates("bucket, cutoff")} FROM (SELECT bucket, cutoff, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (skip) AS DOUBLE) AS nf, CAST(sum(collapse) AS DOUBLE) AS c, CAST(sum(CASE WHEN skip THEN collapse ELSE 0 END) AS DOUBLE) AS cf, CAST(sum(runner) AS DOUBLE) AS r,
   CAST(sum(CASE WHEN skip THEN runner ELSE 0 END) AS DOUBLE) AS rf, sum(least(net_ret, 1000)) AS x, sum(CASE WHEN skip THEN least(net_ret, 1000) ELSE 0 END) AS xf FROM f GROUP BY 1, 2)""")
 def fixed_cutoff_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """The skip filter with a cut-off taken from rows before 2000, on the rows from then on."""
+    """The skip filter with a cut-off taken from rows before October 1995, on the rows from then on."""
     rows = scored(spark, sf)
-    split = F.lit("2000-01-01").cast("timestamp_ntz")
+    split = F.lit("1995-10-01").cast("timestamp_ntz")
     cut = scorecard.cutoff(rows.where(F.col("message_date") < split), "collapse_score", ["bucket"])
     later = rows.where(F.col("message_date") >= split).join(F.broadcast(cut), "bucket").withColumn("flag", F.col("collapse_score") >= F.col("cutoff")).withColumn("cutoff", F.round("cutoff", 6))  # a row a bucket
     return scorecard.filter_rates(scorecard.filter_sums(later, F.col("flag"), ["bucket", "cutoff"]), ["bucket", "cutoff"])
@@ -163,12 +163,12 @@ def seed_medians(spark: SparkSession, sf: str) -> DataFrame:
     return scorecard.seed_median(lifts, "lift", ["bucket"], 4)
 
 
-@query(BASE + """, q AS (SELECT bucket, quantile_cont(runner_score, [i / 100.0 for i in range(101)]) AS reference FROM scored WHERE message_date < TIMESTAMP '2000-01-01' GROUP BY 1)
-  SELECT call_id, bucket, round(100.0 * (len(list_filter(reference, lambda x: x < runner_score)) + len(list_filter(reference, lambda x: x <= runner_score))) / 202, 4) AS rank_pct FROM scored JOIN q USING (bucket) WHERE message_date >= TIMESTAMP '2000-01-01'""")
+@query(BASE + """, q AS (SELECT bucket, quantile_cont(runner_score, [i / 100.0 for i in range(101)]) AS reference FROM scored WHERE message_date < TIMESTAMP '1995-10-01' GROUP BY 1)
+  SELECT call_id, bucket, round(100.0 * (len(list_filter(reference, lambda x: x < runner_score)) + len(list_filter(reference, lambda x: x <= runner_score))) / 202, 4) AS rank_pct FROM scored JOIN q USING (bucket) WHERE message_date >= TIMESTAMP '1995-10-01'""")
 def score_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Percentile of each newer score among 101 quantiles of the older ones."""
     rows = scored(spark, sf)
-    split = F.lit("2000-01-01").cast("timestamp_ntz")
+    split = F.lit("1995-10-01").cast("timestamp_ntz")
     reference = scorecard.reference_quantiles(rows.where(F.col("message_date") < split), "runner_score", ["bucket"])
     later = rows.where(F.col("message_date") >= split).join(F.broadcast(reference), "bucket")  # 101 numbers a bucket
     return later.select("call_id", "bucket", F.round(scorecard.rank_percent(F.col("runner_score"), F.col("reference")), 4).alias("rank_pct"))

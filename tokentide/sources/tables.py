@@ -71,3 +71,44 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/tokentide-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def load_ids(spark: SparkSession, path: str, groups: dict[str, str] | None = None) -> DataFrame:
+    """call_id and group of a CSV list of ids: trimmed, group labels mapped. Ids that aren't whole numbers or repeat are an error."""
+    raw = spark.read.option("header", True).csv(path)
+    label = F.lower(F.trim(F.col(raw.columns[1]))) if len(raw.columns) > 1 else F.lit(None).cast("string")
+    for name, to in (groups or {}).items():
+        label = F.when(label == name, to).otherwise(label)
+    rows = raw.select(F.trim(F.col(raw.columns[0])).alias("raw"), label.alias("group"))
+    ids = rows.select("raw", F.when(F.col("raw").rlike("^[0-9]+$"), F.col("raw").try_cast("long")).alias("call_id"), "group")
+    bad = ids.agg(F.count_if(F.col("call_id").isNull()).alias("wrong"), (F.count("call_id") - F.count_distinct("call_id")).alias("repeated")).first()
+    if bad["wrong"] or bad["repeated"]:
+        raise ValueError(f"{bad['wrong']} ids aren't whole numbers, {bad['repeated']} repeat")
+    return ids.select("call_id", "group")
+
+
+def run_record(rows: DataFrame) -> DataFrame:
+    """One row on an export: rows by status and reason, and sum, median, 90th percentile (nearest rank) and most requests of a row."""
+    by = rows.groupBy("status", "skip_reason").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("status", F.lit("none")), F.coalesce("skip_reason", F.lit("-")), F.col("n").cast("string")))).alias("counts"))
+    nearest = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY requests)")
+    asked = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("requests").alias("requests"), nearest(0.5).alias("median"), nearest(0.9).alias("p90"), F.max("requests").alias("most"))
+    return asked.crossJoin(F.broadcast(by)).select(F.concat_ws(",", "counts").alias("counts"), "n", "requests", "median", "p90", "most")  # one row
+
+
+def export_buys(buys: DataFrame, path: str) -> None:
+    """Live buys in order of call and place."""
+    write_csv(buys, path, ["call_id", "position"])
+
+
+def rebuild_csv(spark: SparkSession, rows_path: str, schema: T.StructType, columns: list[str], path: str) -> None:
+    """JSON lines as CSV with a fixed list of columns; a column that the lines lack is empty."""
+    rows = read_rows(spark, rows_path, schema)
+    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.option("header", True).option("nullValue", "").mode("overwrite").csv(path)
+
+
+def checked_update(rows: DataFrame, chosen: Column, changes: dict[str, Column], expected: int) -> DataFrame:
+    """rows with `changes` where chosen; refused unless exactly `expected` rows are chosen."""
+    n = rows.where(chosen).count()
+    if n != expected:
+        raise ValueError(f"{n} rows chosen, {expected} expected: nothing changed")
+    return rows.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) for c, v in changes.items()})
