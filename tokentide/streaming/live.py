@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tokentide.operators.posts import parse_metrics
 
 
 def new_posts(addresses: DataFrame, late: str = "1 day") -> DataFrame:
@@ -53,3 +56,40 @@ def upsert_into(merge: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
             batch.unpersist()
 
     return sink
+
+
+def parsed(posts: DataFrame) -> DataFrame:
+    """Each post in flight with its numbers and kind: the batch parser, row by row."""
+    return parse_metrics(posts)
+
+
+def into_table(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the latest row of each key, by `order`, in a Parquet table of versions: edits and re-reads replace earlier rows.
+
+    Each micro-batch writes a new version beside the last one and is safe to repeat: its number names the version, and a
+    version is made from the newest one before it.
+    """
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+        older = sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and int(n.split("=")[1]) < epoch)
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/version={older[-1]}").unionByName(batch) if older else batch
+        latest = rows.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), order).alias("_row")).select("_row.*")
+        latest.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+
+    return upsert_into(merge)
+
+
+def late_rows(events: DataFrame, time: str, newest: str, late: str) -> DataFrame:
+    """How many rows of each batch lie further behind the newest time than the watermark allows."""
+    behind = F.col(time) < F.col(newest) - F.expr(f"interval {late}")
+    return events.agg(F.count(F.lit(1)).alias("n"), F.count_if(behind).alias("late"))
+
+
+def catch_up(spark: SparkSession, schema: T.StructType, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Take in what arrived since the last run and stop: the checkpoint is the cursor, so nothing is read twice or missed."""
+    stream = spark.readStream.schema(schema).parquet(path)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

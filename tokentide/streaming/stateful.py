@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tokentide.plans.domain import HORIZONS
+
 RUNNING = "token string, n long, last_price double, high double, low double, rug_block long"
 
 
@@ -61,3 +63,31 @@ def running_state(events: DataFrame) -> DataFrame:
     return events.where("token is not null").select("token", "block", "log_index", "price", "rug").groupBy("token").applyInPandasWithState(
         _running, RUNNING, "n long, last_price double, high double, low double, rug_block long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def _due(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    call_id = key[0]
+    if state.hasTimedOut:
+        entry_ms, done = state.get
+        names = list(HORIZONS)
+        yield pd.DataFrame({"call_id": [call_id], "horizon": [names[done]], "due_ms": [entry_ms + HORIZONS[names[done]] * 1000]})
+        done += 1
+    else:
+        known = state.get if state.exists else None
+        first = int(pd.concat(frames)["entry_ms"].min())
+        entry_ms, done = known if known is not None else (first, 0)
+    if done < len(HORIZONS):
+        state.update((entry_ms, done))
+        due = entry_ms + list(HORIZONS.values())[done] * 1000
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    else:
+        state.remove()
+
+
+def due_horizons(calls: DataFrame, late: str = "1 hour") -> DataFrame:
+    """call_id, horizon and its moment, as each horizon of a call comes due: a timer of event time for each call.
+
+    calls: call_id, entry_at. A call that is posted again keeps its first entry. After its last horizon its state goes.
+    """
+    timed = calls.withWatermark("entry_at", late).select("call_id", "entry_at", F.unix_millis("entry_at").alias("entry_ms"))
+    return timed.groupBy("call_id").applyInPandasWithState(_due, "call_id long, horizon string, due_ms long", "entry_ms long, done int", "append", GroupStateTimeout.EventTimeTimeout)
