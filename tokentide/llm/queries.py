@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentide.llm import bpe, exact_dedup, language, line_dedup, mixing, quality, secrets, sharding, simhash, suffix_dedup
-from tokentide.llm.common import table
+from tokentide.llm import bpe, exact_dedup, language, line_dedup, merkle, mixing, period_runs, quality, secrets, sharding, simhash, suffix_dedup
+from tokentide.llm.common import WORD, table
 
 
 def word_tokenizer() -> str:
@@ -62,8 +62,35 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+#: The fields of a manifest's leaf, in this order.
+FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document, by its checksum, is held against the manifest without its line breaks."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(hit & F.contains("text", F.lit("\n")), F.unhex(merkle.leaf(FIELDS, {"text": F.replace("text", F.lit("\n"), F.lit(""))})))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), FIELDS, also={"tampered": tampered})
+    checked = merkle.verified(found.withColumn("given", F.lower(F.hex("tampered"))), "given")
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in every tenth document, by its checksum, the words from some place on repeat themselves."""
+    h = "crc32(cast(cast(doc_id as string) as binary))"
+    g = f"({h} div 10)"
+    a, p = f"({g} % size(w))", f"(1 + (size(w) - {g} % size(w)) div (3 + {g} % 8))"
+    # an array of one binds the words, so that they are found once
+    repeat = f"transform(array(regexp_extract_all(text, r'{WORD}', 0)), w -> array_join(transform(w, (x, i) -> if(i < {a}, x, get(w, cast({a} + (i - {a}) % {p} as int)))), ' '))[0]"
+    return docs.select("doc_id", F.when(F.expr(f"{h} % 10 = 0 and regexp_like(text, r'{WORD}')"), F.expr(repeat)).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digest(period_runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_sharding, op4_mixing, op5_line_dedup, op6_language, op7_exact_dedup, op8_simhash, op9_quality, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_sharding, op4_mixing, op5_line_dedup, op6_language, op7_exact_dedup, op8_simhash, op9_quality, op10_suffix_dedup, op11_merkle, op12_runs)}
 
 
 #: Mixing repeats the placing by size class and hash, and the level at which targets stop.
