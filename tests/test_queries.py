@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given
 def plain(v):
     if v is None or (not isinstance(v, list | dict) and pd.isna(v)):
         return "null"
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if isinstance(v, bool | np.bool_):
         return str(bool(v))
     try:
         return f"{float(v):.4f}"
