@@ -72,22 +72,23 @@ def entry_price(trades: DataFrame, calls: DataFrame) -> DataFrame:
     return found.select("call_id", "token", "entry_t", F.coalesce("_before", "_after").alias("entry_price"), source.alias("entry_source"))
 
 
-def pieces(trades: DataFrame, entries: DataFrame) -> DataFrame:
-    """call_id, entry_t, from_t, to_t, high, low, last (t, seq) and close of a call's time after its entry.
+def pieces(trades: DataFrame, entries: DataFrame, start: str = "entry_t", ends: list[Column] | None = None) -> DataFrame:
+    """call_id, entry_t, from_t, to_t, high, low, last (t, seq) and close of a call's time after its entry, or after `start`.
 
-    Whole hours are the token's hourly candles; the hours in which the call begins or a horizon ends come trade by
-    trade, so that every horizon is cut exactly.
+    Whole hours are the token's hourly candles; the hours in which that time begins or a horizon ends (or one of `ends`)
+    come trade by trade, so that every horizon is cut exactly.
     """
     trades = trades.select("token", "t", "seq", "price")
     hour = lambda t: F.floor(t / (3600 * S)).cast("long")
-    cut = F.array_distinct(F.array(hour(F.col("entry_t")), *[hour(F.col("entry_t") + s * S) for s in HORIZONS.values()]))
-    calls = entries.select("call_id", "token", "entry_t", cut.alias("cut"))
+    stops = [F.col("entry_t") + s * S for s in HORIZONS.values()] + (ends or [])
+    cut = F.array_compact(F.array_distinct(F.array(hour(F.col(start)), *[hour(e) for e in stops])))
+    calls = entries.select("call_id", "token", "entry_t", F.col(start).alias("start_t"), cut.alias("cut"))
     hours = token_candles(trades, 3600).withColumn("t", F.col("bucket_s") * S)
-    inside = (F.col("t") > F.col("entry_t")) & (F.col("t") <= F.col("entry_t") + LONGEST * S)
+    inside = (F.col("t") > F.col("start_t")) & (F.col("t") <= F.col("entry_t") + LONGEST * S)
     whole = within(calls, hours, 0, LONGEST).where(inside & ~F.array_contains("cut", hour(F.col("t"))))
     part = calls.withColumn("hour", F.explode("cut")).join(trades.withColumn("hour", hour(F.col("t"))), ["token", "hour"]).where(inside)
-    ends = lambda df, end, last, high, low, close: df.select("call_id", "entry_t", F.col("t").alias("from_t"), end.alias("to_t"), last.alias("last"), F.col(high).alias("high"), F.col(low).alias("low"), F.col(close).alias("close"))
-    return ends(whole, F.col("last.t"), F.col("last"), "high", "low", "close").unionByName(ends(part, F.col("t"), F.struct("t", "seq"), "price", "price", "price"))
+    piece = lambda df, end, last, high, low, close: df.select("call_id", "entry_t", F.col("t").alias("from_t"), end.alias("to_t"), last.alias("last"), F.col(high).alias("high"), F.col(low).alias("low"), F.col(close).alias("close"))
+    return piece(whole, F.col("last.t"), F.col("last"), "high", "low", "close").unionByName(piece(part, F.col("t"), F.struct("t", "seq"), "price", "price", "price"))
 
 
 def horizon_returns(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFrame:

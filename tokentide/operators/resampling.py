@@ -114,7 +114,7 @@ def auc_draws(rows: DataFrame, y: str, score: str, key: str, draws: list[int], s
             auc = np.where(pairs > 0, wins / pairs, np.nan)
         return pd.DataFrame({"auc": [[None if np.isnan(a) else a for a in auc]]})
 
-    return parts.groupBy(F.lit(0)).applyInPandas(joined, "auc array<double>")
+    return parts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(joined, "auc array<double>")  # a row for each task and stratum
 
 
 def interval(values: Column, low: float = LOW, high: float = HIGH) -> Column:

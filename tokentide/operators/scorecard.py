@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokentide.functions.expressions import ratio, wilson
-from tokentide.operators import evaluation
+from tokentide.operators import evaluation, resampling
 
 #: Share bought by runner score, share skipped by collapse score, cap of a return, least lift and caught share.
 TOP_SHARE, SKIP_SHARE, RETURN_CAP = 0.10, 0.30, 1000.0
@@ -120,3 +120,76 @@ def rank_percent(score: Column, reference: Column) -> Column:
     """Percentile of a score among reference quantiles, ties in the middle."""
     below, upto = F.size(F.filter(reference, lambda q: q < score)), F.size(F.filter(reference, lambda q: q <= score))
     return F.when(score.isNotNull(), 100.0 * (below + upto) / (2 * F.size(reference)))
+
+
+#: Fixed values of the pooled verdicts: weeks needed, and what the lower ends of the intervals must exceed.
+LEAST_WEEKS, LIFT_LOWER, GAIN_LOWER = 2, 1.0, 0.0
+CAUGHT_LOWER, KEPT_LOWER = 0.30, 0.0
+#: What a week hands on: everything that the pooled figures need.
+WEEK_SUMS = ["top_pos", "top_n", "all_pos", "all_n", "ret_top", "ret_all", "coll_all", "flag_n", "coll_flag", "run_flag", "ret_flag"]
+
+
+def week_sums(scored: DataFrame, key: str, by: list[str], week: str) -> DataFrame:
+    """Sums of each group and week, ranked within it: the top tenth by runner score, and the share skipped by collapse score."""
+    top = evaluation.top_rows(scored, "runner_score", key, TOP_SHARE, [*by, week]).withColumnRenamed("top", "_bought")
+    rows = evaluation.top_rows(top, "collapse_score", key, SKIP_SHARE, [*by, week]).withColumnRenamed("top", "_skipped")
+    c = F.col
+    ret = F.least(c("net_ret"), F.lit(RETURN_CAP))
+    run, coll = F.coalesce(c("runner").cast("long"), F.lit(0)), F.coalesce(c("collapse").cast("long"), F.lit(0))
+    when = lambda flag, v: F.sum(F.when(c(flag), v).otherwise(0))
+    return rows.groupBy(*by, week).agg(
+        when("_bought", run).alias("top_pos"), F.count_if("_bought").alias("top_n"), F.sum(run).alias("all_pos"), F.count(F.lit(1)).alias("all_n"), when("_bought", ret).alias("ret_top"), F.sum(ret).alias("ret_all"),
+        F.sum(coll).alias("coll_all"), F.count_if("_skipped").alias("flag_n"), when("_skipped", coll).alias("coll_flag"), when("_skipped", run).alias("run_flag"), when("_skipped", ret).alias("ret_flag"),
+    )
+
+
+def pooled_stats() -> dict[str, Column]:
+    """Lift, gain over buying everything, and the filter's rates, from pooled sums; null where nothing is below the line."""
+    c = F.col
+    r = lambda a, b: F.try_divide(a, F.when(b > 0, b))
+    top, every = r(c("ret_top"), c("top_n")), r(c("ret_all"), c("all_n"))
+    kept = r(c("ret_all") - c("ret_flag"), c("all_n") - c("flag_n"))
+    return {"lift": r(r(c("top_pos"), c("top_n")), r(c("all_pos"), c("all_n"))), "sim_gain": top - every, "sim_top_mean": top, "sim_all_mean": every, "collapses_caught": r(c("coll_flag"), c("coll_all")), "runners_lost": r(c("run_flag"), c("all_pos")), "kept_minus_all": kept - every}
+
+
+def pooled(weeks: DataFrame, by: list[str], week: str = "week", reps: int = resampling.REPS) -> DataFrame:
+    """Pooled figures of the weeks of each group, with intervals over drawn weeks (null with fewer than two), and the number of weeks."""
+    counted = weeks.groupBy(*by).agg(F.count(F.lit(1)).alias("weeks"))
+    stats = resampling.drawn_stats(resampling.drawn_blocks(weeks, by, week, WEEK_SUMS, reps), by, pooled_stats())
+    rows = stats.join(counted, by)
+    ends = [c for c in stats.columns if c.endswith(("_lo", "_hi"))]
+    return rows.withColumns({c: F.when(F.col("weeks") >= 2, F.col(c)) for c in ends})
+
+
+def _reasons(rules: dict[str, tuple[Column, Column]]) -> Column:
+    """Of each rule (holds, its value): its name where it fails, with `undefined` where there is no value."""
+    said = [F.when(~F.coalesce(ok, F.lit(False)), F.when(value.isNull(), f"{name} undefined").otherwise(name)) for name, (ok, value) in rules.items()]
+    return F.concat_ws("; ", F.array_compact(F.array(*said)))
+
+
+def pooled_gates(figures: DataFrame, seed_lifts: DataFrame, test: DataFrame, by: list[str], seeds: int) -> DataFrame:
+    """Verdict of each group from the pooled weeks: all four rules must hold, and what is missing never passes.
+
+    figures: `pooled` of the saved seed. seed_lifts: the pooled lift of each seed; their median must reach LEAST_LIFT and
+    every one of `seeds` be there. test: collapse_removed of the test part. The lower ends of lift and gain must lie above
+    one and zero. Groups without counted weeks fail. sim_top_mean is for information.
+    """
+    median = seed_median(seed_lifts, "lift", by, seeds).select(*by, F.col("n_seeds").alias("seeds_defined"), F.col("median").alias("median_lift"))
+    j = test.select(*by, "collapse_removed").join(figures, by, "left").join(median, by, "left").withColumn("weeks", F.coalesce("weeks", F.lit(0)))
+    c, enough = F.col, F.col("weeks") >= LEAST_WEEKS
+    ok = {"pooled_lift": (enough & (c("median_lift") >= LEAST_LIFT), c("median_lift")), "pooled_lift_lower": (enough & (c("lift_lo") > LIFT_LOWER), c("lift_lo")), "sim_diff": (enough & (c("sim_gain_lo") > GAIN_LOWER), c("sim_gain_lo")), "collapse": (c("collapse_removed") >= LEAST_REMOVED, c("collapse_removed"))}
+    few = F.when(~enough, F.lit("too few weeks"))
+    reasons = F.concat_ws("; ", few, F.nullif(_reasons(ok), F.lit("")))
+    numbers = ["median_lift", "lift", "lift_lo", "lift_hi", "sim_gain", "sim_gain_lo", "sim_gain_hi", "sim_top_mean", "collapse_removed"]
+    flags = {k: F.coalesce(v[0], F.lit(False)) for k, v in ok.items()}
+    passed = flags["pooled_lift"] & flags["pooled_lift_lower"] & flags["sim_diff"] & flags["collapse"]
+    return j.select(*by, "weeks", F.coalesce("seeds_defined", F.lit(0)).alias("seeds_defined"), *[F.round(n, 6).alias(n) for n in numbers], *[v.alias(f"{k}_ok") for k, v in flags.items()], passed.alias("passed"), reasons.alias("reasons"))
+
+
+def filter_verdict(figures: DataFrame, by: list[str], applies: Column) -> DataFrame:
+    """Whether skipping beats skipping at random on the pooled weeks: both lower ends defined and above their limits, where the filter applies."""
+    c, enough = F.col, F.col("weeks") >= LEAST_WEEKS
+    ok = {"collapses caught": (enough & (c("collapses_caught_lo") > CAUGHT_LOWER), c("collapses_caught_lo")), "kept minus all": (enough & (c("kept_minus_all_lo") > KEPT_LOWER), c("kept_minus_all_lo"))}
+    caught, kept = (F.coalesce(v[0], F.lit(False)) for v in ok.values())
+    reasons = F.concat_ws("; ", F.when(~applies, "not a filter bucket"), F.when(~enough, "too few weeks"), F.nullif(_reasons(ok), F.lit("")))
+    return figures.select(*by, "weeks", applies.alias("applies"), F.round("collapses_caught_lo", 6).alias("caught_lo"), caught.alias("caught_ok"), F.round("kept_minus_all_lo", 6).alias("kept_minus_all_lo"), kept.alias("kept_ok"), (applies & caught & kept).alias("validated"), reasons.alias("reasons"))
