@@ -499,6 +499,16 @@ def test_quality_with_live_cutoffs(spark):
     assert {(r["doc_id"], r["n_words"], r["stratum"]) for r in kept.collect()} == {(i, 7, "s") for i in want if want[i]}
 
 
+def test_a_repeated_row_proves_nothing_more(spark):
+    """One label is one observation, however often its row occurs."""
+    text = " ".join(f"w{k}" for k in range(80))
+    many = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").crossJoin(spark.range(3000).select(F.lit(1).alias("x"))).drop("x")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    measured = quality.measures(many, "doc_id", "text", "lang")
+    assert quality.cutoffs(measured, labels).count() == 0
+    assert quality.judge(many, labels).where("kept").count() == 3000
+
+
 def test_cutoffs_hold_the_bound():
     import pandas as pd
 

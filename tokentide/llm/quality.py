@@ -37,6 +37,8 @@ RULES: dict[str, list[float]] = {
 }
 #: Share of good documents that a stratum may lose to all rules together, and the probability that any stratum loses more.
 RISK, ERROR = 0.03, 0.05
+#: Cutoffs of fewer strata than this are broadcast (some 100 bytes each).
+STRATA = 10_000
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -126,9 +128,14 @@ def choose_cutoffs(tallies: pd.DataFrame, risk: float = RISK, error: float = ERR
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """stratum, rule and cutoff. A document is good if every label it has says quality 1; labels without one don't count."""
+    """stratum, rule and cutoff. A document is good if every label it has says quality 1; labels without one don't count.
+
+    A label is one observation: of rows that share a labelled key only one counts, the one with the largest measures in
+    the order of RULES, so that repeated rows prove nothing more.
+    """
     good = labels.where("quality is not null").groupBy(key).agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = measured.where(~base_failed()).join(good, key).select("stratum", *[c.alias(r) for r, c in rates().items()])
+    labelled = measured.where(~base_failed()).join(good, key).select(key, "stratum", *[c.alias(r) for r, c in rates().items()])
+    held = labelled.groupBy(key).agg(F.max(F.struct(*RULES, "stratum")).alias("x")).select("x.*")
     tried = [(r, c) for r, cuts in RULES.items() for c in cuts]
     tallies = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(r) > c).alias(f"x{i}") for i, (r, c) in enumerate(tried)])
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"x{i}").alias("rejected")) for i, (r, c) in enumerate(tried)])
@@ -152,12 +159,15 @@ def _above(own: str = "") -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The rows that judge() keeps, with the columns of docs. Texts are measured where they lie and never shuffled.
 
-    A stratum has cutoffs only where its labels prove them, so their table has a row for each well-labelled stratum.
+    A stratum has cutoffs only where its labels prove them, so their table has a row for each well-labelled stratum: with
+    fewer than STRATA of them it is broadcast, else rows are joined by stratum.
     Columns of docs may have any names that don't begin with OWN.
     """
     measured = materialise(measures(docs, key, text, stratum))
     by_stratum = materialise(_by_stratum(cutoffs(measured, labels.select(key, "quality"), key, risk, error), OWN))
     rows = measured_rows(docs, text, stratum)
+    if by_stratum.count() < STRATA:
+        by_stratum = F.broadcast(by_stratum)
     joined = rows.join(by_stratum, F.col(f"{OWN}stratum") == F.col(f"{OWN}of_stratum"), "left")
     return joined.where(~base_failed(OWN) & ~_above(OWN)).select(*docs.columns)
 
