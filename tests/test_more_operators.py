@@ -52,6 +52,17 @@ def test_rows_that_labels_leave_out(spark):
     assert reasons == {"update": 1, "repeat": 2, "no pool": 2, "not usd": 1}
 
 
+def test_first_call_is_the_earliest_dated_one(spark):
+    rows = calls(spark, dict(token="0xA", message_date=None), dict(token=" 0xa ", message_date="2024-01-02 00:00:00"), dict(token="0xa", message_date="2024-01-03 00:00:00"), dict(token=None), dict(token=None), dict(token=""), dict(token=""))
+    got = {r["call_id"]: r["repeat"] for r in labels.build_labels(rows).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_pool_is_told_by_the_late_entry(spark):
+    rows = calls(spark, dict(), dict(entry_price=None), dict()).withColumn("entry_late_price", F.when(F.col("call_id") < 2, 1.0).otherwise(float("nan")))
+    assert {r["call_id"]: r["no_pool"] for r in labels.build_labels(rows).collect()} == {0: False, 1: False, 2: True}
+
+
 def test_exchange_families(spark):
     want = {"Uniswap V4": "uniswap_v4", "uniswap_v2": "uniswap_v2", "UNISWAP": "uniswap", "Pons V2": "pons", "O1 Rwa": "o1", "Orbofi": "other", " - ": None, "": None, None: None}
     got = spark.createDataFrame([(k,) for k in want], "n string").select("n", labels.exchange_family(F.col("n")).alias("f"))

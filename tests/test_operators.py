@@ -56,14 +56,31 @@ def test_survival_curve(spark):
 
 
 @pytest.mark.parametrize(("values", "k", "want"), [
-    (list(range(1, 11)), 5, [(1, 2, 2), (3, 4, 2), (5, 6, 2), (7, 8, 2), (9, 10, 2)]),
+    (list(range(1, 11)), 5, [(1, 2, 2, False), (3, 4, 2, False), (5, 6, 2, False), (7, 8, 2, False), (9, 10, 2, False)]),
+    (list(range(1, 11)), 3, [(1, 4, 4, False), (5, 7, 3, False), (8, 10, 3, False)]),
+    ([1, 1, 1, 1, 2, 3, 4, 5], 3, [(1, 1, 4, False), (2, 3, 2, False), (4, 5, 2, False)]),
     ([1] * 6 + [2, 3, 4, 5], 5, None),
+    ([-3, -2, -1, 0, 0, 1, 2, 3, 4, 5, 6], 4, [(-3, -1, 3, False), (0, 0, 2, True), (1, 3, 3, False), (4, 6, 3, False)]),
+    ([-1] * 8 + [0, 1, 2], 4, [(-1, -1, 8, False), (0, 2, 3, False)]),  # one zero in eleven is no group of its own
+    ([-1] * 8 + [0, 0, 1, 2], 4, [(-1, -1, 8, False), (0, 0, 2, True), (1, 1, 1, False), (2, 2, 1, False)]),
+    ([0, 0], 3, [(0, 0, 2, True)]), ([float("nan"), None], 3, []), ([-0.0, 0.0, 5], 2, [(0, 0, 2, True), (5, 5, 1, False)]),
 ])
 def test_equal_count_groups(spark, values, k, want):
-    got = sorted(tuple(r) for r in analytics.equal_count_groups(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", k).collect())
-    assert sum(n for _, _, n in got) == len(values) and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
-    if want:
+    rows = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    groups = analytics.equal_count_groups(rows, "v", k)
+    got = sorted(tuple(r) for r in groups.collect())
+    assert sum(n for _, _, n, _ in got) == sum(v is not None and v == v for v in values) and all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+    if want is not None:
         assert got == want
+    placed = {(r["v"], r["group"]) for r in analytics.group_of(rows, "v", groups).collect()}
+    assert all(g == -1 if v is None or v != v else got[g][0] <= v <= got[g][1] for v, g in placed)
+
+
+def test_values_outside_all_groups_go_to_the_nearest(spark):
+    groups = spark.createDataFrame([(-3.0, -2.0, 1, False), (0.0, 0.0, 2, True), (1.0, 3.0, 2, False), (5.0, 6.0, 1, False)], "low double, high double, n long, zero boolean")
+    rows = spark.createDataFrame([(v,) for v in (-9.0, -1.0, 0.0, 0.5, 4.0, 99.0, None)], "v double")
+    assert [r["group"] for r in analytics.group_of(rows, "v", groups).collect()] == [0, 0, 1, 2, 3, 3, -1]
+    assert [r["group"] for r in analytics.group_of(rows, "v", groups.where("low >= 0")).collect()] == [0, 0, 0, 1, 2, 2, -1]
 
 
 def test_self_transfer_beyond_the_balance_is_negative(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +19,66 @@ def group_stats(rows: DataFrame, keys: list, value: str = "return_pct") -> DataF
     )
 
 
-def equal_count_groups(rows: DataFrame, column: str, k: int, own_zero: float = 0.2) -> DataFrame:
-    """Groups of about equal counts: equal values stay together, and zero is a group of its own if it is frequent.
+def _split(parts: int, neg: int, pos: int, neg_values: int, pos_values: int) -> tuple[int, int]:
+    """Groups that the negative and the positive values get: by their counts, one at least, no more than distinct values."""
+    if not neg or not pos:
+        return (parts if neg else 0, parts if pos else 0)
+    total = max(2, parts)
+    below = min(total - 1, max(1, math.floor(total * neg / (neg + pos) + 0.5)))
+    above = total - below
+    if below > neg_values:
+        above, below = above + below - neg_values, neg_values
+    if above > pos_values:
+        below, above = min(neg_values, below + above - pos_values), pos_values
+    return below, above
+
 
-    Bounds come from the counts of distinct values, summed up slice by slice.
+def equal_count_groups(rows: DataFrame, column: str, k: int, own_zero: float = 0.1) -> DataFrame:
+    """low, high, n and zero of groups of about equal counts: equal values stay together.
+
+    A group ends at the value that holds the place ceil(g n / k), for each g. Where zeros are at least `own_zero` of the
+    values they are a group of their own, and the negative and the positive values are cut apart, by their counts, into
+    the other k - 1. Values that are no numbers don't count. Bounds come from the counts of distinct values, summed up slice by slice.
+    """
+    v = F.col(column).cast("double")
+    counts = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy((v + 0.0).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    size = lambda test: [F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)), F.count_if(test)]
+    about = counts.agg(*[c.alias(a + b) for a, t in (("neg", F.col("v") < 0), ("zero", F.col("v") == 0), ("pos", F.col("v") > 0)) for c, b in zip(size(t), ("", "_values"), strict=True)]).first()
+    n = about["neg"] + about["zero"] + about["pos"]
+    apart = about["zero"] > 0 and about["zero"] >= own_zero * n
+    below, above = _split(max(1, k - 1), about["neg"], about["pos"], about["neg_values"], about["pos_values"]) if apart else (0, 0)
+    side = F.signum("v").cast("int") if apart else F.lit(2)
+    parts = F.when(F.col("side") < 0, below).when(F.col("side") == 1, above).when(F.col("side") == 2, max(1, k)).otherwise(1)
+    placed = running(counts.withColumn("side", side), "v", ["n"], ["side"])
+    # ends before a value, of those g n / k: as many as its group's number
+    group = F.floor((F.col("n_upto") - F.col("n")) * parts / F.col("n_all"))
+    return placed.groupBy("side", group.alias("g")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n")).select("low", "high", "n", (F.col("side") == 0).alias("zero"))
+
+
+def group_of(rows: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+    """rows with group: the place (from 0) of the group that their value belongs to, -1 for none.
+
+    Values outside every group go to the nearest one on their side of zero; zero, and values of a side without a group,
+    to the zero group where there is one. groups: at most a few, as `equal_count_groups` makes them.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    share = counts.agg(F.try_divide(F.sum(F.when(F.col("v") == 0, F.col("n"))), F.sum("n")).alias("_zeros"))
-    counts = counts.crossJoin(F.broadcast(share)).withColumn("zero", (F.col("v") == 0) & (F.coalesce("_zeros", F.lit(0.0)) >= own_zero)).drop("_zeros")  # one row
-    placed = running(counts, "v", ["n"], ["zero"])
-    first = F.col("n_upto") - F.col("n") + 1  # place of the value's first row
-    group = F.when(F.col("zero"), -1).otherwise(F.ceil(first * k / F.col("n_all")))
-    return placed.groupBy(group.cast("int").alias("g")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n")).select("low", "high", "n")
+    known = groups.orderBy("low").collect()  # at most k + 1 rows
+    v = F.col(column).cast("double")
+    zero = next((k for k, g in enumerate(known) if g["zero"]), None)
+
+    def among(places: list[int]) -> Column:
+        found = F.lit(places[-1])
+        for k in reversed(places[:-1]):
+            found = F.when(v <= known[k]["high"], k).otherwise(found)
+        return found
+
+    if not known:
+        place = F.lit(-1)
+    elif zero is None:
+        place = among(list(range(len(known))))
+    else:
+        left, right = list(range(zero)), list(range(zero + 1, len(known)))
+        place = F.when((v < 0) & F.lit(bool(left)), among(left or [zero])).when((v > 0) & F.lit(bool(right)), among(right or [zero])).otherwise(zero)
+    return rows.withColumn("group", F.when(v.isNull() | F.isnan(v), -1).otherwise(place))
 
 
 def histogram(rows: DataFrame, value: str = "return_pct") -> DataFrame:

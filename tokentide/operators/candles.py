@@ -111,6 +111,37 @@ def horizon_returns(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFr
     )
 
 
+def full_results(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFrame:
+    """Return, peak and drawdown of each call and horizon against its entry and against its late entry, with rugs.
+
+    entries: call_id, token, entry_t, entry_price, late_t, late_price, rug_t (null: none). A rug at or before a horizon's
+    end makes its price zero: returns and drawdowns of -100 %, and peaks from before the rug; trades from the rug on don't
+    count. Late figures are of trades behind the late entry, and null without a late price.
+    """
+    c = F.col
+    own = entries.select("call_id", "entry_price", "late_t", "late_price", "rug_t")
+    found = pieces(trades, entries, "entry_t", [c("late_t"), c("rug_t")]).join(own, "call_id")
+    aggs = []
+    for h, s in HORIZONS.items():
+        inside = (c("to_t") <= c("entry_t") + s * S) & (c("rug_t").isNull() | (c("to_t") < c("rug_t")))
+        late = inside & (c("from_t") > c("late_t"))
+        parts = {"last": F.max_by(F.when(inside, c("close")), F.when(inside, c("last"))), "high": F.max(F.when(inside, c("high"))), "low": F.min(F.when(inside, c("low"))), "late_high": F.max(F.when(late, c("high"))), "late_low": F.min(F.when(late, c("low")))}
+        aggs.append(F.struct(F.lit(h).alias("horizon"), F.lit(s * S).cast("long").alias("s"), *[v.alias(k) for k, v in parts.items()]).alias(f"h_{h}"))
+    seen = found.groupBy("call_id").agg(*aggs).select("call_id", F.explode(F.array(*[f"h_{h}" for h in HORIZONS])).alias("x")).select("call_id", "x.*").drop("s")
+    due = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s * S).cast("long").alias("s")) for h, s in HORIZONS.items()])).alias("x")
+    rows = entries.select("call_id", "entry_t", "entry_price", "late_price", "rug_t", due).select("*", "x.*").drop("x").withColumn("due_t", c("entry_t") + c("s")).join(seen, ["call_id", "horizon"], "left")
+    rugged = F.coalesce(c("rug_t") <= c("due_t"), F.lit(False))
+    status = F.when(c("due_t") > now_t, "pending").when(~F.coalesce(c("entry_price") > 0, F.lit(False)) | (c("last").isNull() & ~rugged), "no_data").otherwise("done")
+    done = status == "done"
+    pct = lambda v, of: F.when(done & (of > 0), F.round((v / of - 1) * 100, 6))
+    end = F.when(rugged, 0.0).otherwise(c("last"))
+    low = lambda v: F.when(rugged, 0.0).otherwise(v)
+    return rows.select(
+        "call_id", "horizon", status.alias("status"), F.when(done, rugged).alias("rugged"), pct(end, c("entry_price")).alias("return_pct"), pct(c("high"), c("entry_price")).alias("max_gain_pct"), pct(low(c("low")), c("entry_price")).alias("max_drawdown_pct"),
+        pct(end, c("late_price")).alias("return_late_pct"), pct(c("late_high"), c("late_price")).alias("max_gain_late_pct"), pct(low(c("late_low")), c("late_price")).alias("max_drawdown_late_pct"),
+    )
+
+
 def horizon_timing(trades: DataFrame, entries: DataFrame, horizon: str = "7d") -> DataFrame:
     """Seconds to the peak, to the first price of twice the entry, and how long it was held; censored if still above."""
     end = HORIZONS[horizon] * S

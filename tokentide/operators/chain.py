@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokentide.functions.wide import compared, difference
 from tokentide.operators.asof import as_of
 
 #: The outermost tick, how near to it a pool is empty, and the largest believable rise over the entry price.
@@ -52,8 +53,9 @@ def log_counts(logs: DataFrame, stream: str = "token") -> DataFrame:
 
 
 def decode_pool_events(logs: DataFrame) -> DataFrame:
-    """logs with price (token in quote units; null if none), liq_q (quote side), liq_known, drained, buy, tok_delta and quo_delta.
+    """logs with price (token in quote units; null if none), liq_q (quote side), liq_known, drained, tok_delta and quo_delta.
 
+    Of v2 events the reserves come as exact words too (tok_word, quo_word), so that they can be subtracted.
     Needs kind (v2, v3, v4, curve), event (buy or sell of a curve), token_is_0, token_dec, quote_dec and data. A drained
     pool has no price; a curve has no known liquidity. Words that are missing give nulls, never a drain.
     """
@@ -83,22 +85,24 @@ def decode_pool_events(logs: DataFrame) -> DataFrame:
     return found.select(
         *logs.columns, "drained", F.col("liq_q").isNotNull().alias("liq_known"), "liq_q", F.when(~F.col("drained"), ratio * F.col("_decimals")).alias("price"),
         F.when(curve, F.col("_tokens")).otherwise(a).alias("tok_delta"), F.when(curve, F.when(buy, a).otherwise(F.col("_quote"))).otherwise(b).alias("quo_delta"),
+        F.when(v2, mine).alias("tok_word"), F.when(v2, other).alias("quo_word"),
     )
 
 
 def trades(events: DataFrame, stream: str = "token") -> DataFrame:
-    """Events that are trades, with buy and vol (quote units). v2 reserves are compared with the event before.
+    """Events that are trades, with buy and vol (quote units). v2 reserves are compared with the event before, as whole numbers of 256 bits.
 
     Not trades: the first v2 event of a stream, deltas of zero, v2 deltas of one sign (liquidity), curve ends.
     """
     order = Window.partitionBy(stream).orderBy("block", "log_index")
     v2 = F.col("kind") == "v2"
-    tok = F.when(v2, F.col("tok_delta") - F.lag("tok_delta").over(order)).otherwise(F.col("tok_delta"))
-    quo = F.when(v2, F.col("quo_delta") - F.lag("quo_delta").over(order)).otherwise(F.col("quo_delta"))
-    moved = events.withColumns({"_tok": tok, "_quo": quo})
+    before = events.withColumns({"_tok_before": F.lag("tok_word").over(order), "_quo_before": F.lag("quo_word").over(order)})
+    tok = F.when(v2, compared(F.col("tok_word"), F.col("_tok_before")).cast("double")).otherwise(F.col("tok_delta"))  # its sign is what counts
+    quo = F.when(v2, difference(F.col("quo_word"), F.col("_quo_before"))).otherwise(F.col("quo_delta"))
+    moved = before.withColumns({"_tok": tok, "_quo": quo})
     buy = F.when(F.col("kind") == "curve", F.col("event") == "buy").when(F.col("kind") == "v4", F.col("_tok") > 0).otherwise(F.col("_tok") < 0)
     swap = (F.col("_tok") != 0) & (~v2 | (F.signum("_tok") == -F.signum("_quo")))
-    return moved.where(swap).withColumns({"buy": buy, "vol": F.abs("_quo") / F.pow(F.lit(10.0), F.col("quote_dec"))}).drop("_tok", "_quo")
+    return moved.where(swap).withColumns({"buy": buy, "vol": F.abs("_quo") / F.pow(F.lit(10.0), F.col("quote_dec"))}).drop("_tok", "_quo", "_tok_before", "_quo_before")
 
 
 def rug_flag(quote_usd: Column, least_usd: float) -> Column:

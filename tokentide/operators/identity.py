@@ -67,6 +67,16 @@ def pivot_measures(results: DataFrame, names: dict[str, str]) -> DataFrame:
     return results.groupBy("call_id").agg(*[cell(m, h) for m in names for h in HORIZONS])
 
 
+def predictions_with_outcomes(scores: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Each score that names a bucket, with the call's outcomes; scores of unknown calls are left out."""
+    return scores.where("bucket is not null").join(outcomes, "call_id")
+
+
+def calls_with_metrics(calls: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Every call, with the figures parsed from its post where there are any."""
+    return calls.join(metrics, "call_id", "left")
+
+
 def pivot_returns(returns: DataFrame) -> DataFrame:
     return returns.groupBy("call_id").agg(*[F.max(F.when(F.col("horizon") == h, F.col("return_pct"))).alias(f"ret_{h}") for h in HORIZONS])
 

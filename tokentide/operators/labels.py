@@ -50,14 +50,22 @@ def extreme() -> Column:
 
 
 def flags(rows: DataFrame) -> DataFrame:
-    """rows with update, repeat (not the first call of its token, or set aside as one), no_pool, not_usd, extreme and dead."""
+    """rows with update, repeat (not the first call of its token, or set aside as one), no_pool, not_usd, extreme and dead.
+
+    The first call is the earliest dated one that isn't an update. no_pool asks for the late entry's price; rows from
+    before it was kept (no such column) are judged by the entry's.
+    """
     update = F.coalesce(F.col("post_kind") == "update", F.lit(False))
-    order = Window.partitionBy(F.lower(F.col("token").cast("string")), update).orderBy("message_date", "call_id")
-    later = ~update & F.col("token").isNotNull() & F.col("message_date").isNotNull() & (F.row_number().over(order) > 1)
+    # rows without a date or token have no place; they are dealt by id, so that they don't meet in one window
+    token = F.nullif(F.lower(F.trim(F.col("token").cast("string"))), F.lit(""))
+    placed = ~update & token.isNotNull() & F.col("message_date").isNotNull()
+    order = Window.partitionBy(placed, F.when(placed, token).otherwise(F.col("call_id").cast("string"))).orderBy("message_date", "call_id")
+    later = placed & (F.row_number().over(order) > 1)
+    late = "entry_late_price" if "entry_late_price" in rows.columns else "entry_price"
     return rows.select(
         "*", update.alias("update"),
         (~update & (later | F.coalesce(F.col("tracking_status") == "repeat", F.lit(False)))).alias("repeat"),
-        (F.col("entry_price").isNull() | F.coalesce(F.col("tracking_status").isin(*NO_POOL), F.lit(False))).alias("no_pool"),
+        (known(F.col(late).cast("double")).isNull() | F.coalesce(F.col("tracking_status").isin(*NO_POOL), F.lit(False))).alias("no_pool"),
         (~F.coalesce(F.col("price_unit") == "usd", F.lit(False))).alias("not_usd"),
         extreme().alias("extreme"),
         F.coalesce(F.col("trades_24h") < DEAD_TRADES, F.lit(False)).alias("dead"),

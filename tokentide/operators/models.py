@@ -9,8 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.functions.expressions import ratio
 from tokentide.operators.evaluation import auc
+from tokentide.operators.resampling import REPS, auc_draws, interval
 
 #: Days before the newest row that count as recent for calibration, and rows of either class needed there.
 RECENT_DAYS, CLASS_ROWS = 14, 20
@@ -132,31 +132,16 @@ def walk_forward(rows: DataFrame, placed: DataFrame, y: str, columns: list[str],
     return out
 
 
-def auc_interval(rows: DataFrame, y: str, x: str, key: str, reps: int = 200, seed: int = 9, level: float = 0.95) -> DataFrame:
+def auc_interval(rows: DataFrame, y: str, x: str, key: str, reps: int = REPS, seed: int = 9) -> DataFrame:
     """AUC of a feature with its bootstrap interval; the direction is that of all rows.
 
-    Each draw weights a row by a Poisson(1) number made from its key, so that draws need no rows gathered; a draw's AUC comes
-    from weighted counts of distinct values.
+    One sweep over the rows in order of the feature weighs them in all draws (`resampling.auc_draws`).
     """
-    counts = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("int").alias("y"), F.col(key).alias("k"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, below, p = F.lit(0), 0.0, 0.36787944117144233
-    for n in range(1, 8):
-        below += p
-        weight = weight + (u > below).cast("int")
-        p /= n
-    drawn = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(weight)).where("w > 0")
-    per = drawn.groupBy("rep", "x").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).alias("neg"))
-    from tokentide.functions.ranks import running
-
-    wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
-    found = running(per, "x", ["neg"], ["rep"]).groupBy("rep").agg(ratio(F.sum(wins), F.sum("pos") * F.sum("neg")).alias("a"))
-    whole = found.where("rep = 0").select(F.col("a").alias("auc"))
-    low, high = (1 - level) / 2, (1 + level) / 2
-    ends = found.where("rep > 0 and a is not null").agg(F.percentile("a", low).alias("lo"), F.percentile("a", high).alias("hi"), F.count("a").alias("reps"))
-    turned = F.col("auc") < 0.5
-    flip = lambda c: F.when(turned, 1 - F.col(c)).otherwise(F.col(c))
-    return whole.crossJoin(F.broadcast(ends)).select(F.round(flip("auc"), 6).alias("auc"), F.round(F.when(turned, 1 - F.col("hi")).otherwise(F.col("lo")), 6).alias("low"), F.round(F.when(turned, 1 - F.col("lo")).otherwise(F.col("hi")), 6).alias("high"), turned.alias("turned"), "reps")  # one row each
+    found = auc_draws(rows.withColumn("_y", F.col(y).cast("int")), "_y", x, key, [-1, *range(reps)], seed)
+    draws = found.select(F.col("auc")[0].alias("a"), F.slice("auc", 2, reps).alias("draws")).withColumn("turned", F.col("a") < 0.5)
+    flip = lambda c: F.when(F.col("turned"), 1 - c).otherwise(c)
+    ends = draws.withColumn("ends", interval(F.transform("draws", lambda v: F.when(F.col("turned"), 1 - v).otherwise(v))))
+    return ends.select(F.round(flip(F.col("a")), 6).alias("auc"), F.round("ends.low", 6).alias("low"), F.round("ends.high", 6).alias("high"), "turned", F.size(F.filter("draws", lambda v: v.isNotNull())).cast("long").alias("reps"))
 
 
 def screening(blocks: DataFrame, least: float = 0.55) -> DataFrame:

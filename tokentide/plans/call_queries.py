@@ -287,11 +287,18 @@ def return_groups(spark: SparkSession, sf: str) -> DataFrame:
     return analytics.group_stats(d.returns(spark, sf), ["horizon"])
 
 
-@query("""WITH c AS (SELECT l_discount AS v, count(*) AS n FROM lineitem GROUP BY 1), z AS (SELECT *, v = 0 AND n >= 0.05 * sum(n) OVER () AS zero FROM c),
-  u AS (SELECT *, sum(n) OVER (PARTITION BY zero ORDER BY v) AS upto, sum(n) OVER (PARTITION BY zero) AS m FROM z)
-  SELECT min(v) AS low, max(v) AS high, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY CASE WHEN zero THEN -1 ELSE ceil((upto - n + 1) * 4 / m) END""")
+#: Discounts around 3 %: values of both signs and many zeros. Bounds are picked by their places in the sorted values.
+EQUAL_GROUPS = """vals AS (SELECT round(l_discount * 100) - 3 AS v FROM lineitem), about AS (SELECT count(*) FILTER (v < 0) AS neg, count(*) FILTER (v > 0) AS pos, count(*) FILTER (v = 0) AS zeros, count(*) AS n FROM vals),
+  share AS (SELECT *, least(3, greatest(1, floor(4 * neg / (neg + pos) + 0.5))) AS below FROM about),
+  sides AS (SELECT 'neg' AS side, CAST(below AS INT) AS k, (SELECT list(v ORDER BY v) FROM vals WHERE v < 0) AS sorted FROM share UNION ALL SELECT 'pos', CAST(4 - below AS INT), (SELECT list(v ORDER BY v) FROM vals WHERE v > 0) FROM share),
+  uppers AS (SELECT DISTINCT side, sorted[CAST(ceil(g * len(sorted) / k) AS INT)] AS u FROM sides CROSS JOIN range(1, 6) r(g) WHERE g <= k),
+  placed AS (SELECT v, CASE WHEN v < 0 THEN 'neg' WHEN v > 0 THEN 'pos' ELSE 'zero' END AS side, (SELECT min(u) FROM uppers WHERE u >= v AND side = CASE WHEN v < 0 THEN 'neg' ELSE 'pos' END) AS u FROM vals)"""
+
+
+@query(f"WITH {EQUAL_GROUPS} SELECT min(v) AS low, max(v) AS high, count(*) AS n, side = 'zero' AS zero FROM placed GROUP BY side, CASE WHEN side <> 'zero' THEN u END")
 def equal_count_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return analytics.equal_count_groups(d.read(spark, sf, "lineitem"), "l_discount", 4, 0.05)
+    rows = d.read(spark, sf, "lineitem").select((F.round(F.col("l_discount") * 100) - 3).alias("v"))
+    return analytics.equal_count_groups(rows, "v", 5, 0.05)
 
 
 @query(with_tables("returns") + """, b AS (SELECT CAST((return_pct > -75)::INT + (return_pct > -50)::INT + (return_pct > -25)::INT + (return_pct > 0)::INT + (return_pct >= 25)::INT + (return_pct >= 50)::INT + (return_pct >= 100)::INT + (return_pct >= 300)::INT AS INT) AS band FROM returns)

@@ -102,6 +102,7 @@ FACTS = """SELECT o.o_orderkey AS call_id, o.o_custkey AS token, o.o_orderdate A
     o.o_orderkey % 13 = 5 AS rugged,
     CASE o.o_orderkey % 39 WHEN 5 THEN 'event' WHEN 18 THEN 'price' WHEN 31 THEN 'at_call' END AS rug_kind,
     CASE WHEN o.o_orderkey % 17 <> 3 THEN o.o_totalprice / 1000000 END AS entry_price,
+    CASE WHEN o.o_orderkey % 17 <> 3 AND o.o_orderkey % 23 <> 2 THEN o.o_totalprice * 1.02 / 1000000 END AS entry_late_price,
     CASE WHEN o.o_orderkey % 14 <> 3 THEN o.o_totalprice * (o.o_orderkey % 7) / 2000000 END AS latest_price,
     CASE o.o_orderkey % 5 WHEN 0 THEN 'onchain-v2' WHEN 1 THEN 'onchain-v3' WHEN 2 THEN 'minute' WHEN 4 THEN 'onchain-pons' END AS entry_source,
     CASE WHEN o.o_orderkey % 6 > 0 THEN o.o_totalprice * 3 END AS mcap_usd,

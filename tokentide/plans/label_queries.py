@@ -12,8 +12,8 @@ from tokentide.plans.domain import with_tables
 
 CAP = 100000.0
 FLAGGED = f"""flagged AS (SELECT *, coalesce(post_kind = 'update', false) AS is_update,
-    coalesce(post_kind = 'update', false) = false AND (coalesce(tracking_status = 'repeat', false) OR row_number() OVER (PARTITION BY token, coalesce(post_kind = 'update', false) ORDER BY message_date, call_id) > 1) AS is_repeat,
-    entry_price IS NULL OR coalesce(tracking_status IN ('no_pool', 'gave_up'), false) AS is_no_pool, price_unit <> 'usd' AS is_not_usd,
+    coalesce(post_kind = 'update', false) = false AND (coalesce(tracking_status = 'repeat', false) OR EXISTS (SELECT 1 FROM facts g WHERE g.token = facts.token AND g.post_kind IS DISTINCT FROM 'update' AND g.message_date IS NOT NULL AND (g.message_date, g.call_id) < (facts.message_date, facts.call_id))) AS is_repeat,
+    entry_late_price IS NULL OR coalesce(tracking_status IN ('no_pool', 'gave_up'), false) AS is_no_pool, price_unit <> 'usd' AS is_not_usd,
     coalesce(max_gain_late_1d > {CAP}, false) OR coalesce(ret_late_1d > {CAP}, false) OR coalesce(ret_late_3d > {CAP}, false) OR coalesce(ret_late_7d > {CAP}, false) OR coalesce(ret_late_30d > {CAP}, false) AS is_extreme,
     coalesce(trades_24h < 50, false) AS is_dead FROM facts),
   netted AS (SELECT *, NOT (is_update OR is_repeat OR is_no_pool OR is_not_usd OR is_extreme) AS free, (1 - coalesce(tax_buy_pct, 0) / 100) AS fb, (1 - coalesce(tax_sell_pct, 0) / 100) AS fs FROM flagged)"""

@@ -66,17 +66,17 @@ def input_effect(spark: SparkSession, sf: str) -> DataFrame:
 def screened_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Each input's AUC with its interval, and whether to go on with it."""
     rows = labelled(spark, sf)
-    blocks = [models.auc_interval(rows, "y", c, "call_id", reps=50).withColumn("feature", F.lit(c)) for c in INPUTS[:3]]
+    blocks = [models.auc_interval(rows, "y", c, "call_id").withColumn("feature", F.lit(c)) for c in INPUTS]
     return models.screening(reduce(DataFrame.unionByName, blocks))
 
 
 @query()
 def weekly_refits(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of a few later weeks by models refitted for each."""
+    """Scores of every counted week by a model refitted for it."""
     rows = labelled(spark, sf)
     placed = tables.written(splits.walk_forward(rows, "message_date", "call_id", "token", 1))
-    sizes = splits.week_sizes(placed).where("n_train >= 300 and n_test >= 3").orderBy(F.desc("n_test"), "week").limit(2)  # two weeks: a fit each
-    weeks = sorted(r["week"] for r in sizes.collect())
+    sizes = splits.week_sizes(placed).where("n_train >= 300 and n_test >= 3")
+    weeks = sorted(r["week"] for r in sizes.collect())  # a number for each week: a fit each
     if not weeks:
         return rows.select("call_id", "y", F.lit(None).cast("double").alias("prob"), F.lit(0).alias("week")).limit(0)
     return models.walk_forward(rows.select("call_id", "y", *INPUTS), placed, "y", INPUTS, "call_id", weeks).select("call_id", "y", "prob", "week")
