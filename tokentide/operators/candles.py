@@ -14,12 +14,12 @@ DAY = 86400
 LONGEST = max(HORIZONS.values())
 
 
-def within(calls: DataFrame, rows: DataFrame, back: int, ahead: int) -> DataFrame:
-    """calls joined to rows of their token from `back` to `ahead` seconds around the entry, by token and day.
+def within(calls: DataFrame, rows: DataFrame, back: int, ahead: int, span: int = DAY) -> DataFrame:
+    """calls joined to rows of their token from `back` to `ahead` seconds around the entry, by token and span (a day).
 
     rows has token and t; the caller cuts to the exact moments.
     """
-    day = lambda c: F.floor(c / (DAY * S))
+    day = lambda c: F.floor(c / (span * S))
     near = calls.withColumn("_day", F.explode(F.sequence(day(F.col("entry_t") - back * S), day(F.col("entry_t") + ahead * S))))
     return near.join(rows.withColumn("_day", day(F.col("t"))), ["token", "_day"]).drop("_day")
 
@@ -170,7 +170,7 @@ def precall(events: DataFrame, calls: DataFrame, minutes: tuple[int, ...] = (5,
     """
     longest = max(minutes) * 60
     rows = events.where("price > 0").select("token", "t", "seq", "price", "side", "amount")
-    joined = within(calls.select("call_id", "token", "entry_t"), rows, longest, 0).withColumn("ago", F.col("entry_t") - F.col("t")).where(f"ago >= 0 and ago <= {longest * S}")
+    joined = within(calls.select("call_id", "token", "entry_t"), rows, longest, 0, span=longest).withColumn("ago", F.col("entry_t") - F.col("t")).where(f"ago >= 0 and ago <= {longest * S}")
     at = F.struct("t", "seq")
     aggs = [(F.max("ago") / S).alias("first_trade_age_s"), F.max_by("price", at).alias("_last")]
     for m in minutes:

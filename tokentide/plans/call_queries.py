@@ -177,7 +177,7 @@ def training_view(spark: SparkSession, sf: str) -> DataFrame:
     pre = candles.precall(d.pool_activity(spark, sf), calls)
     busy = identity.busyness(calls, "call_id", "entry_t").withColumnsRenamed({"rows_1h": "calls_prev_1h", "rows_24h": "calls_prev_24h"})
     prior = identity.prior_calls(calls.withColumn("message_date", F.col("entry_at").cast("timestamp")))
-    near = candles.within(calls, d.price_events(spark, sf).where("kind = 'purchase'").select("token", "t", "price"), 3600, 0).where("t > entry_t - 3600000000 and t <= entry_t")
+    near = candles.within(calls, d.price_events(spark, sf).where("kind = 'purchase'").select("token", "t", "price"), 3600, 0, span=3600).where("t > entry_t - 3600000000 and t <= entry_t")
     live = near.groupBy("call_id").agg(F.max("price").alias("largest_buy_usd"))
     day = candles.trades_24h(candles.candles(trades, calls), calls, NOW_T)
     rows = entries.drop("entry_t")

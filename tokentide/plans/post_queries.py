@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentide.operators import candles, identity, posts, selection
+from tokentide.operators import candles, identity, posts, selection, verdicts
 from tokentide.plans import domain as d
 from tokentide.plans.book import query
 from tokentide.plans.call_queries import CANDLES, ENTRY, FIRST, NOW_T
@@ -57,6 +57,23 @@ def report_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return d.read(spark, sf, "documents").select("doc_id", posts.text_verdict(F.col("text"), "0 that", ["enthe"], ["api"]).alias("verdict"))
 
 
+#: Markers and safe phrases of the query below, in lower case, and what a report says beside a document's text.
+MARKERS, SAFE = ["red flag", "honeypot", "mintable", "scam", "caution", "\U0001f6a9"], ["no red flag", "honeypot: no", "0 warnings"]
+SAID = "CASE doc_id % 11 WHEN 0 THEN ' 0 red flags' WHEN 1 THEN ' Red flags: 3' WHEN 2 THEN ' no red flags, honeypot' WHEN 3 THEN ' $ABC on-chain check: not enough data yet' WHEN 4 THEN ' non-mintable, honeypot: no' WHEN 5 THEN ' Caution!' WHEN 6 THEN ' No red flags found' WHEN 7 THEN ' \U0001f6a9' WHEN 8 THEN ' unmintable precaution' WHEN 9 THEN ' 20 warnings' ELSE '' END"
+FOUND = lambda m: f"regexp_matches(' ' || rest, '[^\\p{{L}}\\p{{Nd}}]{m}')" if m.isascii() else f"contains(rest, '{m}')"
+
+
+@query(rf"""WITH said AS (SELECT doc_id, lower(regexp_replace(text || {SAID}, '(?i)\b(?:0|zero)\s+red\s+flags?\b|\bred\s+flags?\s*:\s*(?:0|none|zero)\b', 'no red flags', 'g')) AS t, text || {SAID} AS text FROM documents),
+  r AS (SELECT *, regexp_replace(regexp_replace(replace(replace(t, 'no red flag', ' '), 'honeypot: no', ' '), '(^|[^\p{{L}}\p{{Nd}}])0 warnings', '\1 ', 'g'), '(^|[^\p{{L}}\p{{Nd}}])non-', '\1nonx', 'g') AS rest FROM said),
+  m AS (SELECT *, CASE {' '.join(f"WHEN {FOUND(m)} THEN '{m}'" for m in MARKERS)} END AS marker, CASE WHEN contains(t, 'no red flag') THEN 'clean' WHEN contains(t, 'red flag') THEN 'red_flags' WHEN contains(t, 'caution') OR contains(t, 'warning') THEN 'caution' WHEN contains(t, 'not enough data yet') THEN 'insufficient' ELSE 'unknown' END AS phrase FROM r),
+  l AS (SELECT *, CASE WHEN phrase = 'insufficient' THEN phrase WHEN marker = 'caution' THEN 'caution' WHEN marker IS NOT NULL THEN 'red_flags' WHEN phrase = 'clean' THEN 'clean' ELSE 'unknown' END AS level FROM m)
+  SELECT doc_id, level, CASE WHEN level = 'insufficient' THEN 'not enough data yet' WHEN marker IS NOT NULL THEN marker WHEN level = 'clean' THEN 'No red flags found' END AS label, CASE WHEN phrase = 'insufficient' THEN nullif(regexp_extract(text, '(?i)(\$[^\s$]+)\s+on-chain check', 1), '') END AS ticker FROM l""")
+def text_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Level, label and ticker of every document's text with a report's words behind it."""
+    rows = d.read(spark, sf, "documents").select("doc_id", F.expr(f"concat(text, {SAID})").alias("text"))
+    return verdicts.text_verdict(rows, "text", MARKERS, SAFE).drop("text")
+
+
 @query(r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
 def page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return posts.page_titles(d.read(spark, sf, "pages"))
