@@ -63,6 +63,18 @@ def test_pool_is_told_by_the_late_entry(spark):
     assert {r["call_id"]: r["no_pool"] for r in labels.build_labels(rows).collect()} == {0: False, 1: False, 2: True}
 
 
+def test_feature_table(spark):
+    rows = spark.createDataFrame([(1, "usd", 10.0, 30.0, 3, 0, "12", 2, 0, 4.0, None), (2, "weth", 10.0, 30.0, 3, 1, "many", 2, None, None, None), (3, None, None, None, None, 1, "NaN", None, 5, None, 3.0)],
+                                 "call_id long, pre_vol_unit string, pre_buy_vol_15m double, pre_sell_vol_15m double, pre_buys_60m int, pre_sells_60m int, holders string, calls_prev_1h int, calls_prev_24h int, live_buys_elite_usd double, live_buys_good_usd double").withColumn("liq_usd", F.lit(0.0))
+    table = labels.feature_table(rows)
+    got = {r["call_id"]: r for r in table.collect()}
+    assert len(table.columns) == 1 + len(labels.RAW) + 3 * 8 + 5 + 3
+    assert got[1]["pre_buy_vol_share_15m"] == 0.25 and got[2]["pre_buy_vol_share_15m"] is None and got[2]["pre_buy_vol_15m"] is None
+    assert got[1]["pre_buy_sell_ratio_60m"] == 4.0 and got[2]["pre_buy_sell_ratio_60m"] == 2.0 and got[3]["pre_buy_sell_ratio_60m"] is None
+    assert [got[k]["holders"] for k in (1, 2, 3)] == [12.0, None, None] and [got[k]["calls_prev_burst"] for k in (1, 2, 3)] == [48.0, None, None]
+    assert got[1]["live_usd_to_liq"] is None and got[1]["hour_utc"] is None and got[3]["live_buys_good_usd"] == 3.0
+
+
 def test_exchange_families(spark):
     want = {"Uniswap V4": "uniswap_v4", "uniswap_v2": "uniswap_v2", "UNISWAP": "uniswap", "Pons V2": "pons", "O1 Rwa": "o1", "Orbofi": "other", " - ": None, "": None, None: None}
     got = spark.createDataFrame([(k,) for k in want], "n string").select("n", labels.exchange_family(F.col("n")).alias("f"))

@@ -123,9 +123,47 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.select("call_id", *[F.round(v, 6).alias(k) for k, v in made.items()], usd("pre_buy_vol").alias("pre_buy_vol"), F.hour("message_date").alias("hour_utc"), F.weekday("message_date").alias("weekday_utc"), exchange_family(c("dex")).alias("dex_family"))
 
 
+#: Raw numbers of a call that are inputs as they are, and the windows of its last hour.
+RAW = (
+    "called_at_mcap_usd", "mcap_usd", "liq_usd", "liq_pct", "tax_buy_pct", "tax_sell_pct", "age_seconds", "holders", "proof_elite", "proof_good", "live_buys_elite_count", "live_buys_good_count",
+    "live_buys_elite_usd", "live_buys_good_usd", "live_buy_max_usd", "calls_prev_1h", "calls_prev_24h", "pre_first_trade_age_s",
+)
+WINDOWS = ("5m", "15m", "60m")
+
+
+def feature_table(rows: DataFrame, raw: tuple[str, ...] = RAW, windows: tuple[str, ...] = WINDOWS) -> DataFrame:
+    """call_id and every numeric input: raw numbers, counts, volumes (only where quoted in USD), price changes, ratios, burst, calendar and family.
+
+    A column that rows lack is null throughout, and what doesn't read as a finite number is null. Ratios with a zero or
+    missing denominator are null; buys to sells are smoothed by one, so that they are finite.
+    """
+    have = set(rows.columns)
+
+    def num(name: str) -> Column:
+        if name not in have:
+            return F.lit(None).cast("double")
+        v = F.col(name).cast("string").try_cast("double")
+        return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+    ratio = lambda a, b: F.try_divide(a, F.when(b > 0, b))
+    usd = lambda name: F.when(F.col("pre_vol_unit") == "usd", num(name)) if "pre_vol_unit" in have else F.lit(None).cast("double")
+    elite, good = num("live_buys_elite_usd"), num("live_buys_good_usd")
+    live = F.when(elite.isNotNull() | good.isNotNull(), F.coalesce(elite, F.lit(0.0)) + F.coalesce(good, F.lit(0.0)))
+    made = {c: num(c) for c in raw}
+    for w in windows:
+        made |= {f"pre_{k}_{w}": num(f"pre_{k}_{w}") for k in ("swaps", "buys", "sells")} | {f"pre_{k}_{w}": usd(f"pre_{k}_{w}") for k in ("buy_vol", "sell_vol")}
+        made |= {f"pre_price_chg_{w}_pct": num(f"pre_price_chg_{w}_pct"), f"pre_buy_sell_ratio_{w}": (num(f"pre_buys_{w}") + 1) / (num(f"pre_sells_{w}") + 1)}
+        made[f"pre_buy_vol_share_{w}"] = ratio(usd(f"pre_buy_vol_{w}"), usd(f"pre_buy_vol_{w}") + usd(f"pre_sell_vol_{w}"))
+    made |= {"liq_to_mcap": ratio(num("liq_usd"), num("mcap_usd")), "live_usd_to_liq": ratio(live, num("liq_usd")), "live_usd_to_mcap": ratio(live, num("mcap_usd")), "mcap_vs_called": ratio(num("mcap_usd"), num("called_at_mcap_usd"))}
+    made["calls_prev_burst"] = burst(num("calls_prev_1h"), num("calls_prev_24h"))
+    when = F.col("message_date").try_cast("timestamp") if "message_date" in have else F.lit(None).cast("timestamp")
+    family = exchange_family(F.col("dex")) if "dex" in have else F.lit(None).cast("string")
+    return rows.select("call_id", *[v.alias(k) for k, v in made.items()], F.hour(when).alias("hour_utc"), F.weekday(when).alias("weekday_utc"), family.alias("dex_family"))
+
+
 def burst(last_hour: Column, last_day: Column) -> Column:
-    """Posting rate of the last hour relative to the last day's; a day without posts counts as one."""
-    return last_hour * 24 / F.greatest(last_day, F.lit(1))
+    """Posting rate of the last hour relative to the last day's; a day without posts counts as one, a missing count gives null."""
+    return last_hour * 24 / F.when(last_day.isNotNull(), F.greatest(last_day, F.lit(1)))
 
 
 def category_levels(train: DataFrame, columns: dict[str, Column], least: int = 20) -> DataFrame:

@@ -85,3 +85,24 @@ def dead_waves(spark: SparkSession, sf: str) -> DataFrame:
   round(count(*) FILTER (trades_24h < 50) / nullif(count(trades_24h), 0), 6) AS dead_share FROM facts GROUP BY 1""")
 def dead_by_part(spark: SparkSession, sf: str) -> DataFrame:
     return labels.dead_stats(d.facts(spark, sf), F.date_format(F.date_trunc("week", F.col("message_date")), "yyyy-MM-dd"))
+
+
+#: A call's inputs as the training view names them: some read from text that is no number, some volumes not in USD.
+VIEW = """view_rows AS (SELECT call_id, message_date, dex, called_at_mcap_usd, mcap_usd, liq_usd, tax_buy_pct, tax_sell_pct, elite_usd AS live_buys_elite_usd, good_usd AS live_buys_good_usd, pre_buys AS pre_buys_5m, pre_sells AS pre_sells_5m,
+    pre_buy_vol AS pre_buy_vol_5m, pre_sell_vol AS pre_sell_vol_5m, price_unit AS pre_vol_unit, call_id % 5 AS calls_prev_1h, CASE WHEN call_id % 7 > 0 THEN call_id % 7 * 3 - 3 END AS calls_prev_24h,
+    CASE WHEN call_id % 4 = 0 THEN 'unknown' ELSE CAST(call_id % 900 AS VARCHAR(9)) END AS holders FROM facts)"""
+NUM = {"holders": "TRY_CAST(holders AS DOUBLE)"}
+FEATURE_SQL = ", ".join([f"CAST({NUM.get(n, n)} AS DOUBLE) AS {n}" for n in ("called_at_mcap_usd", "mcap_usd", "liq_usd", "tax_buy_pct", "tax_sell_pct", "holders", "live_buys_elite_usd", "live_buys_good_usd", "calls_prev_1h", "calls_prev_24h")])
+
+
+@query(with_tables("facts") + f""", {VIEW}, e AS (SELECT *, CASE WHEN live_buys_elite_usd IS NOT NULL OR live_buys_good_usd IS NOT NULL THEN coalesce(live_buys_elite_usd, 0) + coalesce(live_buys_good_usd, 0) END AS live, CASE WHEN pre_vol_unit = 'usd' THEN pre_buy_vol_5m END AS bv, CASE WHEN pre_vol_unit = 'usd' THEN pre_sell_vol_5m END AS sv FROM view_rows)
+  SELECT call_id, {FEATURE_SQL}, CAST(pre_buys_5m AS DOUBLE) AS pre_buys_5m, CAST(pre_sells_5m AS DOUBLE) AS pre_sells_5m, bv AS pre_buy_vol_5m, sv AS pre_sell_vol_5m, round((pre_buys_5m + 1) / (pre_sells_5m + 1), 9) AS pre_buy_sell_ratio_5m, round(bv / CASE WHEN bv + sv > 0 THEN bv + sv END, 9) AS pre_buy_vol_share_5m,
+    round(liq_usd / CASE WHEN mcap_usd > 0 THEN mcap_usd END, 9) AS liq_to_mcap, round(live / CASE WHEN liq_usd > 0 THEN liq_usd END, 9) AS live_usd_to_liq, round(live / CASE WHEN mcap_usd > 0 THEN mcap_usd END, 9) AS live_usd_to_mcap, round(mcap_usd / CASE WHEN called_at_mcap_usd > 0 THEN called_at_mcap_usd END, 9) AS mcap_vs_called,
+    calls_prev_1h * 24 / CASE WHEN calls_prev_24h IS NOT NULL THEN greatest(calls_prev_24h, 1) END AS calls_prev_burst FROM e""")
+def feature_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The inputs that the domain tables have; those of a real view are named in `labels.RAW`."""
+    rows = spark.sql(f"WITH {VIEW.replace('FROM facts', 'FROM {facts}')} SELECT * FROM view_rows", facts=d.facts(spark, sf))
+    raw = ("called_at_mcap_usd", "mcap_usd", "liq_usd", "tax_buy_pct", "tax_sell_pct", "holders", "live_buys_elite_usd", "live_buys_good_usd", "calls_prev_1h", "calls_prev_24h")
+    ratios = ("pre_buy_sell_ratio_5m", "pre_buy_vol_share_5m", "liq_to_mcap", "live_usd_to_liq", "live_usd_to_mcap", "mcap_vs_called")
+    found = labels.feature_table(rows, raw, ("5m",))
+    return found.drop("pre_swaps_5m", "pre_price_chg_5m_pct", "hour_utc", "weekday_utc", "dex_family").withColumns({c: F.round(c, 9) for c in ratios})
