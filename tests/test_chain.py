@@ -122,3 +122,20 @@ def test_running_state_ends_at_the_rug(spark, tmp_path):
     df = spark.createDataFrame(rows, "token string, block long, log_index long, price double, rug boolean")
     got = {r["token"]: tuple(r)[1:] for r in stream(spark, tmp_path, df, stateful.running_state, "running_out", "update")}
     assert got == {"a": (2, 5.0, 5.0, 2.0, 3), "b": (1, 3.0, 3.0, 3.0, None), "c": (0, None, None, None, None)}
+
+
+def test_dust_is_no_drain_for_the_query(spark, tmp_path):
+    import datetime as dt
+
+    import duckdb
+    import pandas as pd
+
+    from tokentide import registry
+
+    rows = [(k, u, "view", dt.datetime(2024, 1, 2, 3, k), v) for k, (u, v) in enumerate([(4, 0.004), (4, 0.5), (5, 0.02), (1, 0.004), (2, 7.25), (3, 0.001)], 1)]
+    pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "ts", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got = registry.queries()["decoded_pool_events"](spark, str(tmp_path)).select("seq", "drained").collect()
+    want = duckdb.sql(registry.oracle_sql()["decoded_pool_events"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).df()
+    assert {r["seq"]: r["drained"] for r in got} == dict(zip(want["seq"], want["drained"], strict=True))
+    # the decoder itself takes any empty reserve for a drain
+    assert decode(spark, log(1, "v2", words(5, 0)))[1]["drained"]

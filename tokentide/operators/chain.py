@@ -73,7 +73,7 @@ def decode_pool_events(logs: DataFrame) -> DataFrame:
     })
     a, b, c, depth, buy, sell = F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d"), F.col("event") == "buy", F.col("event") == "sell"
     quote = F.when(buy, a).when(sell, b) + F.when(buy, -1.0).otherwise(1.0) * (c + depth)
-    in_range = F.when(depth > 0, depth * F.pow(c, F.when(is0, 1.0).otherwise(-1.0))).otherwise(0.0)
+    in_range = F.when(depth > 0, F.when(is0, depth * c).otherwise(depth / c)).otherwise(0.0)
     gone = F.when(v2, (a == 0) | (b == 0)).when(swap, (depth == 0) | (c == 0) | (F.abs("_tick") >= MAX_TICK - TICK_SLACK))
     found = numbers.withColumns({
         "_quote": F.when(curve, quote),
