@@ -139,3 +139,16 @@ def test_dust_is_no_drain_for_the_query(spark, tmp_path):
     assert {r["seq"]: r["drained"] for r in got} == dict(zip(want["seq"], want["drained"], strict=True))
     # the decoder itself takes any empty reserve for a drain
     assert decode(spark, log(1, "v2", words(5, 0)))[1]["drained"]
+
+
+def test_prices_to_the_last_bit(spark):
+    """A price 10/3 times another must come out on the same side of a bound in every engine."""
+    cases = [(a, k) for a in (3, 7, 101, 977, 12345, 99991) for k in (1, 3, 7, 11, 13)]
+    logs = [log(i, "curve", words(a * 10**4, k * 10**17, a * 100, a * 50), event="buy") for i, (a, k) in enumerate(cases)]
+    logs += [log(1000 + i, "v3", words(-5, 7, (1 + a) << 80, k * 10**12, 3), is0=i % 2 == 0) for i, (a, k) in enumerate(cases)]
+    got = decode(spark, *logs)
+    for i, (a, k) in enumerate(cases):
+        root = (1 + a) / 65536.0
+        assert got[i]["price"] == a * 9850.0 / 1e6 / (k * 1e17 / 1e18)
+        assert got[1000 + i]["price"] == (root**2 if i % 2 == 0 else 1 / root**2) * 1e12
+        assert got[1000 + i]["liq_q"] == (k * 1e12 * root if i % 2 == 0 else k * 1e12 / root) / 1e6

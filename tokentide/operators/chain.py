@@ -81,9 +81,12 @@ def decode_pool_events(logs: DataFrame) -> DataFrame:
         "drained": F.coalesce(gone, F.lit(False)),
         "liq_q": F.when(v2, b).when(swap & F.col("_tick").isNotNull(), F.when(c > 0, in_range).otherwise(0.0)) / F.col("_units"),
     })
-    ratio = F.when(v2, F.try_divide(b, a)).when(swap & (c > 0), F.pow(c, F.when(is0, 2.0).otherwise(-2.0))).when((F.col("_quote") > 0) & (F.col("_tokens") > 0), F.col("_quote") / F.col("_tokens"))
+    # each price by one fixed sequence of roundings: powers of c and amounts in whole units come first
+    square = F.when(is0, c * c).otherwise(1.0 / (c * c))
+    price = F.when(v2, F.try_divide(b, a) * F.col("_decimals")).when(swap & (c > 0), square * F.col("_decimals"))
+    price = price.when((F.col("_quote") > 0) & (F.col("_tokens") > 0), F.col("_quote") / F.col("_units") / (F.col("_tokens") / F.pow(F.lit(10.0), F.col("token_dec"))))
     return found.select(
-        *logs.columns, "drained", F.col("liq_q").isNotNull().alias("liq_known"), "liq_q", F.when(~F.col("drained"), ratio * F.col("_decimals")).alias("price"),
+        *logs.columns, "drained", F.col("liq_q").isNotNull().alias("liq_known"), "liq_q", F.when(~F.col("drained"), price).alias("price"),
         F.when(curve, F.col("_tokens")).otherwise(a).alias("tok_delta"), F.when(curve, F.when(buy, a).otherwise(F.col("_quote"))).otherwise(b).alias("quo_delta"),
         F.when(v2, mine).alias("tok_word"), F.when(v2, other).alias("quo_word"),
     )
