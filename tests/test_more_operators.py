@@ -263,3 +263,27 @@ def test_upserts_keep_the_latest_and_runs_catch_up(spark, tmp_path):
     run()
     run()  # nothing new
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/version=1").collect())) == [(1, "edited", 2), (2, "b", 1), (3, "c", 1)]
+
+
+def test_weeks_are_fitted_at_once(spark, monkeypatch):
+    """All weeks together give what a fit of each on its own rows gives; a week of one outcome predicts it."""
+    import random
+
+    from tokentide.operators import models
+
+    rng = random.Random(3)
+    rows, placed = [], []
+    for k in range(1200):
+        week, a, b = k // 100 + 1, rng.gauss(0, 3), rng.expovariate(1) if rng.random() < 0.8 else None
+        rows.append((k, int(k >= 100 and rng.random() < 1 / (1 + 2.7 ** (0.4 - 0.5 * a - (b or 1)))), a, b, 5.0))
+        placed.append((k, week + 1, 12 if week < 12 else None, week if week > 1 else None) if week < 12 else (k, None, None, week))
+    rows, placed = spark.createDataFrame(rows, "id long, y int, a double, b double, c double"), spark.createDataFrame(placed, "id long, train_from long, train_to long, test_week long")
+    joined, want = rows.join(placed, "id"), {}
+    for w in (5, 12):
+        model = models.fit_baseline(joined.where(f"train_from <= {w} and train_to >= {w}"), "y", ["a", "b", "c"])
+        want |= {r["id"]: r["prob"] for r in models.scores(model, joined.where(f"test_week = {w}"), ["a", "b", "c"], ["id"]).collect()}
+    monkeypatch.setattr(models, "fit_baseline", None)  # no fit for a single week
+    got = {r["id"]: r for r in models.walk_forward(rows, placed, "y", ["a", "b", "c"], "id", list(range(2, 13))).collect()}
+    assert len(got) == 1100 and {r["week"] for r in got.values()} == set(range(2, 13))
+    assert max(abs(got[i]["prob"] - p) for i, p in want.items()) < 2e-3 and len(want) == 200
+    assert all(got[i]["prob"] == 0 for i in range(100, 200))
