@@ -144,3 +144,15 @@ def test_forward_check_needs_both_classes(spark):
     assert few["na"] == "too few rows of a class" and few["gain"] is None and few["test_pos"] == 2
     r = trials.forward_check(rows, "y", ["without_1"], "x", "k", 100).first()
     assert r["na"] is None and r["gain"] > 0 and r["low"] <= r["gain"] <= r["high"] and r["train_pos"] == 80
+
+
+def test_weights_by_table_are_those_of_the_cuts():
+    """Most weights come from a number's first bits alone; numbers beside a cut are still held against it."""
+    heads = resampling.BY_HEAD
+    assert len(heads) == 1 << 16 and (heads < 0).sum() == len(resampling.CUTS)
+    u = (np.arange(1 << 16) + 0.5) / 2.0**16
+    plain = (u[:, None] > resampling.CUTS).sum(axis=1)
+    assert (heads[heads >= 0] == plain[heads >= 0]).all()
+    keys, draws = np.random.default_rng(5).integers(-(2**63), 2**63, 4000), np.arange(-1, 300)
+    w = resampling.weights(keys, draws, 3)
+    assert (w[:, 0] == 1).all() and abs(w[:, 1:].mean() - 1) < 0.01 and abs((w[:, 1:] == 0).mean() - resampling.CUTS[0]) < 0.01
