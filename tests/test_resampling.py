@@ -156,3 +156,12 @@ def test_weights_by_table_are_those_of_the_cuts():
     keys, draws = np.random.default_rng(5).integers(-(2**63), 2**63, 4000), np.arange(-1, 300)
     w = resampling.weights(keys, draws, 3)
     assert (w[:, 0] == 1).all() and abs(w[:, 1:].mean() - 1) < 0.01 and abs((w[:, 1:] == 0).mean() - resampling.CUTS[0]) < 0.01
+
+
+def test_gates_score_the_calls_once(spark, monkeypatch):
+    from tokentide.plans import trial_queries
+
+    times, scored = [], trial_queries.scored
+    monkeypatch.setattr(trial_queries, "scored", lambda *a: times.append(a) or scored(*a))
+    trial_queries.pooled_gates(spark, "/root/testdata/sf0.001")
+    assert len(times) == 1
