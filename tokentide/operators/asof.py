@@ -42,6 +42,7 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     side = by_span.rowsBetween(1, Window.unboundedFollowing) if forward else by_span.rowsBetween(Window.unboundedPreceding, -1)
     carry = (F.first if forward else F.last)("_edge", ignorenulls=True).over(side)
     carried = spans.select(F.col("_key").alias("_ck"), F.col("_span").alias("_cs"), carry.alias("_carry"))
-    joined = both.withColumn("_found", found).where("_row is not null").join(carried, F.col("_key").eqNullSafe(F.col("_ck")) & F.col("_span").eqNullSafe(F.col("_cs")), "left")
+    # plain equality: the rows stay where the window had them; a missing key or time finds nothing
+    joined = both.withColumn("_found", found).where("_row is not null").join(carried.hint("merge"), (F.col("_key") == F.col("_ck")) & (F.col("_span") == F.col("_cs")), "left")
     got = F.when(F.col("_key").isNotNull(), F.coalesce("_found", "_carry"))
     return joined.withColumn("_found", got).select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])

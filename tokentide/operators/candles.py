@@ -17,11 +17,12 @@ LONGEST = max(HORIZONS.values())
 def within(calls: DataFrame, rows: DataFrame, back: int, ahead: int, span: int = DAY) -> DataFrame:
     """calls joined to rows of their token from `back` to `ahead` seconds around the entry, by token and span (a day).
 
-    rows has token and t; the caller cuts to the exact moments.
+    rows has token and t; the caller cuts to the exact moments. A call is sent once to each span that it meets, so spans
+    should be as long as a key's rows in one allow. By merge at every size: nothing is broadcast.
     """
     day = lambda c: F.floor(c / (span * S))
     near = calls.withColumn("_day", F.explode(F.sequence(day(F.col("entry_t") - back * S), day(F.col("entry_t") + ahead * S))))
-    return near.join(rows.withColumn("_day", day(F.col("t"))), ["token", "_day"]).drop("_day")
+    return near.join(rows.withColumn("_day", day(F.col("t"))).hint("merge"), ["token", "_day"]).drop("_day")
 
 
 def token_candles(trades: DataFrame, interval: int, keys: list[str] | None = None) -> DataFrame:
@@ -38,14 +39,14 @@ def candles(trades: DataFrame, calls: DataFrame, ahead: int = LONGEST) -> DataFr
     Buckets that lie whole within a call's time are the token's candles, made once. Only those it cuts (at its entry and
     ends) are made from trades, for each call.
     """
-    trades = trades.select("token", "t", "seq", "price")
+    trades, calls = trades.select("token", "t", "seq", "price"), calls.select("call_id", "token", "entry_t")
     out = None
     for interval, length in ((300, DAY), (3600, ahead)):
-        whole = within(calls, token_candles(trades, interval).withColumn("t", F.col("bucket_s") * S), 0, length)
+        whole = within(calls, token_candles(trades, interval).withColumn("t", F.col("bucket_s") * S), 0, length, span=max(length, DAY))
         whole = whole.where((F.col("bucket_s") * S >= F.col("entry_t")) & ((F.col("bucket_s") + interval) * S <= F.col("entry_t") + length * S))
         cut = F.array_distinct(F.transform(F.array("entry_t", F.col("entry_t") + length * S), lambda t: (F.floor(t / (S * interval)) * interval).cast("long")))
         edges = calls.withColumn("bucket_s", F.explode(cut)).where(~((F.col("bucket_s") * S >= F.col("entry_t")) & ((F.col("bucket_s") + interval) * S <= F.col("entry_t") + length * S)))
-        part = edges.join(trades.withColumn("bucket_s", (F.floor(F.col("t") / (S * interval)) * interval).cast("long")), ["token", "bucket_s"])
+        part = edges.join(trades.withColumn("bucket_s", (F.floor(F.col("t") / (S * interval)) * interval).cast("long")).hint("merge"), ["token", "bucket_s"])
         part = part.where((F.col("t") >= F.col("entry_t")) & (F.col("t") < F.col("entry_t") + length * S))
         made = token_candles(part, interval, ["call_id"])
         columns = ["call_id", F.lit(interval).alias("interval_s"), "bucket_s", "open", "high", "low", "close", "events"]
@@ -72,41 +73,45 @@ def entry_price(trades: DataFrame, calls: DataFrame) -> DataFrame:
     return found.select("call_id", "token", "entry_t", F.coalesce("_before", "_after").alias("entry_price"), source.alias("entry_source"))
 
 
-def pieces(trades: DataFrame, entries: DataFrame, start: str = "entry_t", ends: list[Column] | None = None) -> DataFrame:
-    """call_id, entry_t, from_t, to_t, high, low, last (t, seq) and close of a call's time after its entry, or after `start`.
+def pieces(trades: DataFrame, entries: DataFrame, start: str = "entry_t", ends: tuple[str, ...] = ()) -> DataFrame:
+    """call_id, entry_t, `ends`, from_t, to_t, high, low, last (t, seq) and close of a call's time after its entry, or after `start`.
 
-    Whole hours are the token's hourly candles; the hours in which that time begins or a horizon ends (or one of `ends`)
-    come trade by trade, so that every horizon is cut exactly.
+    Whole hours are the token's hourly candles; the hours in which that time begins or a horizon ends (or a moment of the
+    columns `ends`) come trade by trade, so that every horizon is cut exactly. A call goes to two spans of thirty days, where
+    a token has 720 hours; which hours are cut is worked out there, from the moments.
     """
     trades = trades.select("token", "t", "seq", "price")
     hour = lambda t: F.floor(t / (3600 * S)).cast("long")
-    stops = [F.col("entry_t") + s * S for s in HORIZONS.values()] + (ends or [])
-    cut = F.array_compact(F.array_distinct(F.array(hour(F.col(start)), *[hour(e) for e in stops])))
-    calls = entries.select("call_id", "token", "entry_t", F.col(start).alias("start_t"), cut.alias("cut"))
-    hours = token_candles(trades, 3600).withColumn("t", F.col("bucket_s") * S)
+    calls = entries.select("call_id", "token", "entry_t", F.col(start).alias("start_t"), *ends)
+    moments = [F.col("start_t"), *[F.col("entry_t") + s * S for s in HORIZONS.values()], *map(F.col, ends)]
+    is_cut = F.lit(False)
+    for m in moments:
+        is_cut = is_cut | F.coalesce(hour(F.col("t")) == hour(m), F.lit(False))
+    hours = token_candles(trades, 3600).withColumn("t", F.col("bucket_s") * S).select("token", "t", "high", "low", "close", "last")
     inside = (F.col("t") > F.col("start_t")) & (F.col("t") <= F.col("entry_t") + LONGEST * S)
-    whole = within(calls, hours, 0, LONGEST).where(inside & ~F.array_contains("cut", hour(F.col("t"))))
-    part = calls.withColumn("hour", F.explode("cut")).join(trades.withColumn("hour", hour(F.col("t"))), ["token", "hour"]).where(inside)
-    piece = lambda df, end, last, high, low, close: df.select("call_id", "entry_t", F.col("t").alias("from_t"), end.alias("to_t"), last.alias("last"), F.col(high).alias("high"), F.col(low).alias("low"), F.col(close).alias("close"))
+    whole = within(calls, hours, 0, LONGEST, span=LONGEST).where(inside & ~is_cut)
+    cut = F.array_compact(F.array_distinct(F.array(*map(hour, moments))))
+    part = calls.withColumn("hour", F.explode(cut)).join(trades.withColumn("hour", hour(F.col("t"))).hint("merge"), ["token", "hour"]).where(inside)
+    piece = lambda df, end, last, high, low, close: df.select("call_id", "entry_t", *ends, F.col("t").alias("from_t"), end.alias("to_t"), last.alias("last"), F.col(high).alias("high"), F.col(low).alias("low"), F.col(close).alias("close"))
     return piece(whole, F.col("last.t"), F.col("last"), "high", "low", "close").unionByName(piece(part, F.col("t"), F.struct("t", "seq"), "price", "price", "price"))
 
 
 def horizon_returns(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFrame:
     """Return, peak and drawdown of each call and horizon against its entry price; pending until due, no_data without trades."""
-    due = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("s")) for h, s in HORIZONS.items()])).alias("x")
-    wide = entries.select("*", due).select("call_id", "token", "entry_t", "entry_price", "x.horizon", (F.col("entry_t") + F.col("x.s") * F.lit(S).cast("long")).alias("due_t"))
     # one pass over a call's pieces; the horizons are conditions, not copies
     aggs = []
     for h, s in HORIZONS.items():
         inside = F.col("to_t") <= F.col("entry_t") + s * S
         aggs += [F.max_by(F.when(inside, F.col("close")), F.when(inside, F.col("last"))).alias(f"last_{h}"), F.max(F.when(inside, F.col("high"))).alias(f"high_{h}"), F.min(F.when(inside, F.col("low"))).alias(f"low_{h}")]
     seen = pieces(trades, entries).groupBy("call_id").agg(*aggs)
-    rows = seen.select("call_id", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"last_{h}").alias("last"), F.col(f"high_{h}").alias("high"), F.col(f"low_{h}").alias("low")) for h in HORIZONS])).alias("x")).select("call_id", "x.*")
+    # a call meets its figures in one row; its horizons are rows only behind that
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), (F.col("entry_t") + F.lit(s * S).cast("long")).alias("due_t"), F.col(f"last_{h}").alias("last"), F.col(f"high_{h}").alias("high"), F.col(f"low_{h}").alias("low")) for h, s in HORIZONS.items()])).alias("x")
+    rows = entries.select("call_id", "entry_t", "entry_price").join(seen.hint("merge"), "call_id", "left").select("call_id", "entry_price", each).select("call_id", "entry_price", "x.*")
     pct = lambda c: F.round((F.col(c) / F.col("entry_price") - 1) * 100, 6)
     ready = F.col("due_t") <= now_t
     status = F.when(~ready, "pending").when(F.col("last").isNull() | F.col("entry_price").isNull(), "no_data").otherwise("done")
     done = status == "done"
-    return wide.join(rows, ["call_id", "horizon"], "left").select(
+    return rows.select(
         "call_id", "horizon", status.alias("status"), F.when(done, pct("last")).alias("return_pct"), F.when(done, pct("high")).alias("max_gain_pct"), F.when(done, pct("low")).alias("max_drawdown_pct")
     )
 
@@ -119,17 +124,17 @@ def full_results(trades: DataFrame, entries: DataFrame, now_t: int) -> DataFrame
     count. Late figures are of trades behind the late entry, and null without a late price.
     """
     c = F.col
-    own = entries.select("call_id", "entry_price", "late_t", "late_price", "rug_t")
-    found = pieces(trades, entries, "entry_t", [c("late_t"), c("rug_t")]).join(own, "call_id")
+    found = pieces(trades, entries, "entry_t", ("late_t", "rug_t"))
     aggs = []
     for h, s in HORIZONS.items():
         inside = (c("to_t") <= c("entry_t") + s * S) & (c("rug_t").isNull() | (c("to_t") < c("rug_t")))
         late = inside & (c("from_t") > c("late_t"))
         parts = {"last": F.max_by(F.when(inside, c("close")), F.when(inside, c("last"))), "high": F.max(F.when(inside, c("high"))), "low": F.min(F.when(inside, c("low"))), "late_high": F.max(F.when(late, c("high"))), "late_low": F.min(F.when(late, c("low")))}
-        aggs.append(F.struct(F.lit(h).alias("horizon"), F.lit(s * S).cast("long").alias("s"), *[v.alias(k) for k, v in parts.items()]).alias(f"h_{h}"))
-    seen = found.groupBy("call_id").agg(*aggs).select("call_id", F.explode(F.array(*[f"h_{h}" for h in HORIZONS])).alias("x")).select("call_id", "x.*").drop("s")
-    due = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s * S).cast("long").alias("s")) for h, s in HORIZONS.items()])).alias("x")
-    rows = entries.select("call_id", "entry_t", "entry_price", "late_price", "rug_t", due).select("*", "x.*").drop("x").withColumn("due_t", c("entry_t") + c("s")).join(seen, ["call_id", "horizon"], "left")
+        aggs.append(F.struct(*[v.alias(k) for k, v in parts.items()]).alias(f"h_{h}"))
+    seen = found.groupBy("call_id").agg(*aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), (c("entry_t") + F.lit(s * S).cast("long")).alias("due_t"), c(f"h_{h}").alias("seen")) for h, s in HORIZONS.items()])).alias("x")
+    joined = entries.select("call_id", "entry_t", "entry_price", "late_price", "rug_t").join(seen.hint("merge"), "call_id", "left")
+    rows = joined.select("call_id", "entry_price", "late_price", "rug_t", each).select("*", "x.horizon", "x.due_t", "x.seen.*").drop("x")
     rugged = F.coalesce(c("rug_t") <= c("due_t"), F.lit(False))
     status = F.when(c("due_t") > now_t, "pending").when(~F.coalesce(c("entry_price") > 0, F.lit(False)) | (c("last").isNull() & ~rugged), "no_data").otherwise("done")
     done = status == "done"
@@ -235,7 +240,7 @@ def horizons_from_candles(hourly: DataFrame, entries: DataFrame, now_t: int) ->
     due = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).alias("s")) for h, s in HORIZONS.items()])).alias("x")
     asked = entries.select("call_id", "token", "entry_t", "entry_price", due).select("call_id", "token", "entry_t", "entry_price", "x.horizon", (F.floor(F.col("entry_t") / S) * S + F.col("x.s") * F.lit(S).cast("long")).alias("due_t"))
     ended = as_of(asked, last, "token", "due_t", "_ct", ["_last"], "bucket_s", strict=True)
-    near = within(entries.select("call_id", "token", "entry_t"), hourly.select("token", "bucket_s", "high", "low").withColumn("t", F.col("bucket_s") * S), 3600, LONGEST).where(F.col("bucket_s") >= entry_h)
+    near = within(entries.select("call_id", "token", "entry_t"), hourly.select("token", "bucket_s", "high", "low").withColumn("t", F.col("bucket_s") * S), 3600, LONGEST, span=LONGEST).where(F.col("bucket_s") >= entry_h)
     aggs = []
     for h, s in HORIZONS.items():
         inside = F.col("t") < F.floor(F.col("entry_t") / S) * S + F.lit(s * S).cast("long")

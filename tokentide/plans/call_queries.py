@@ -121,7 +121,8 @@ RETURNS = f"""results AS (SELECT call_id, horizon, status, CASE WHEN status = 'd
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     trades = d.trades(spark, sf).drop("ts")
-    return candles.horizon_returns(trades, candles.entry_price(trades, d.calls_on_events(spark, sf)), NOW_T)
+    entries = tables.written(candles.entry_price(trades, d.calls_on_events(spark, sf)))  # read twice
+    return candles.horizon_returns(trades, entries, NOW_T)
 
 
 @query(with_tables("price_events", "event_calls", "trades") + f", {ENTRY}, {RETURNS} SELECT * FROM results")

@@ -22,11 +22,12 @@ def horizon_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Each call and horizon with its late entry, the highest gain over it until the horizon or the rug, and the rug."""
     base = entries(spark, sf).withColumn("entry_s", F.expr(f"entry_t div {S}")).withColumns({"rugged": F.expr("call_id % 7 = 0"), "rug_s": F.expr(RUG_S)})
     base = written(base)
-    found = candles.pieces(d.trades(spark, sf).drop("ts"), base.withColumn("rug_t", F.col("rug_s") * S), "late_t", [F.col("rug_t"), *[(F.col("entry_s") + s) * S for s in HORIZONS.values()]])
-    ends = base.select("call_id", *[(F.when(F.col("rugged") & F.col("rug_s").isNotNull(), F.least(F.col("entry_s") + s, "rug_s")).otherwise(F.col("entry_s") + s) * S).alias(f"end_{h}") for h, s in HORIZONS.items()])
-    tops = found.join(ends, "call_id").groupBy("call_id").agg(*[F.max(F.when(F.col("to_t") <= F.col(f"end_{h}"), F.col("high"))).alias(f"top_{h}") for h in HORIZONS])
+    found = candles.pieces(d.trades(spark, sf).drop("ts"), base.withColumn("rug_t", F.col("rug_s") * S), "late_t", ("rug_t",))
+    # whole seconds after the entry lie in the hour of the exact moment, so these ends are cut too
+    stop = lambda s: F.least((F.expr(f"entry_t div {S}") + s) * S, "rug_t")
+    tops = found.groupBy("call_id").agg(*[F.max(F.when(F.col("to_t") <= stop(s), F.col("high"))).alias(f"top_{h}") for h, s in HORIZONS.items()])
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(s).cast("long").alias("s"), F.col(f"top_{h}").alias("top")) for h, s in HORIZONS.items()])).alias("x")
-    rows = base.join(tops, "call_id", "left").select("call_id", "entry_s", "late_price", "rugged", "rug_s", each).select("*", "x.*")
+    rows = base.join(tops.hint("merge"), "call_id", "left").select("call_id", "entry_s", "late_price", "rugged", "rug_s", each).select("*", "x.*")
     gain = (F.greatest("top", "late_price") / F.nullif("late_price", F.lit(0.0)) - 1) * 100
     return rows.select("call_id", "horizon", "entry_s", (F.col("entry_s") + 60).alias("late_s"), (F.col("entry_s") + F.col("s")).alias("due_s"), F.col("late_price").alias("entry_late"), gain.alias("peak_gain_pct"), "rugged", "rug_s")
 
@@ -54,7 +55,7 @@ SOURCES = with_tables("price_events", "event_calls", "trades") + f", {LATE}, {c.
 @query(SOURCES + """ SELECT call_id, horizon, outcome, CASE WHEN outcome = 'timed' THEN CASE WHEN at_entry THEN 0 ELSE peak_s - entry_s END END AS peak_late_after_s, CASE WHEN outcome = 'timed' AND reached THEN first_s - entry_s END AS first_2x_after_s,
   CASE WHEN outcome = 'timed' THEN CAST(held AS BIGINT) END AS above_2x_s, CASE WHEN outcome = 'timed' AND reached THEN fall - entry_s END AS fall_below_2x_after_s, CASE WHEN outcome = 'timed' THEN reached AND fall IS NULL END AS censored FROM timed""")
 def all_horizon_timing(spark: SparkSession, sf: str) -> DataFrame:
-    stored = written(candles.candles(d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf)))
+    stored = candles.candles(d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf))
     return timing.horizon_timing(horizon_rows(spark, sf), stored)
 
 
@@ -62,7 +63,7 @@ def all_horizon_timing(spark: SparkSession, sf: str) -> DataFrame:
   SELECT count(*) AS horizons, count(DISTINCT call_id) AS calls, count(*) FILTER (outcome = 'timed') AS written, count(*) FILTER (outcome = 'no rug time') AS no_rug_time, count(*) FILTER (outcome = 'inconsistent') AS inconsistent, count(*) FILTER (outcome = 'no late entry') AS failed FROM chosen""")
 def timing_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """A backfill of the due horizons of calls whose state kept candles (two in three)."""
-    stored = written(candles.candles(d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf)))
+    stored = candles.candles(d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf))
     rows = written(horizon_rows(spark, sf).withColumns({"status": F.lit("done"), "timing_at": F.lit(None).cast("timestamp")}))
     states = rows.select("call_id", (F.col("call_id") % 3).alias("version")).distinct()
     chosen = timing.todo(rows, states, 1, c.NOW_T // S)
