@@ -10,6 +10,7 @@ from tokentide.plans import call_queries as c
 from tokentide.plans import domain as d
 from tokentide.plans.book import query
 from tokentide.plans.domain import with_tables
+from tokentide.sources.tables import written
 
 STATUSES = ("pending", "tracking", "no_pool", "error", "gave_up", "done", "repeat")
 TRACKED = "tracked AS (SELECT o_orderkey AS call_id, ['pending', 'tracking', 'no_pool', 'error', 'gave_up', 'done', 'repeat'][o_orderkey % 7 + 1] AS status, o_custkey % 9 AS attempts FROM orders)"
@@ -42,7 +43,7 @@ def merged_rugs(spark: SparkSession, sf: str) -> DataFrame:
   SELECT call_id, CAST(coalesce(CASE WHEN of_candle IS NOT NULL THEN least(of_candle, last_due) END, of_horizon, last_due) AS BIGINT) AS rug_s, CASE WHEN of_candle IS NOT NULL THEN 'candle' WHEN of_horizon IS NOT NULL THEN 'horizon' ELSE 'last_due' END AS rug_source FROM done LEFT JOIN low USING (call_id)""")
 def price_rug_times(spark: SparkSession, sf: str) -> DataFrame:
     trades, calls = d.trades(spark, sf).drop("ts"), d.calls_on_events(spark, sf)
-    entries = candles.entry_price(trades, calls)
+    entries = written(candles.entry_price(trades, calls))  # read four times
     seconds = F.create_map(*[F.lit(x) for h in d.HORIZONS.items() for x in h])
     results = candles.horizon_returns(trades, entries, c.NOW_T).where("status = 'done'").join(entries.select("call_id", "entry_t", F.col("entry_price").alias("_e")), "call_id")
     done = results.select("call_id", (F.expr("entry_t div 1000000") + seconds[F.col("horizon")]).cast("long").alias("due_s"), (F.col("_e") * (1 + F.col("return_pct") / 100)).alias("price"))
