@@ -116,7 +116,8 @@ def classified_trades(spark: SparkSession, sf: str) -> DataFrame:
        "round(sum(value) FILTER (kind = 'sell') / sum(value) FILTER (kind = 'buy'), 6) AS sell_buy_ratio, count(DISTINCT wallet) FILTER (kind = 'buy' AND block = first_block) AS first_block_buyers, any_value(max_tx_buyers) AS max_tx_buyers, any_value(holders) AS holders, any_value(top1_share) AS top1_share "
        "FROM traded LEFT JOIN f USING (token) LEFT JOIN x USING (token) LEFT JOIN h USING (token) GROUP BY 1")
 def holder_features(spark: SparkSession, sf: str) -> DataFrame:
-    return holders.features(traded(spark, sf), holders.token_balances(moves(spark, sf), "token"), "token")
+    trades = tables.written(traded(spark, sf).select("token", "tx", "block", "value", "kind", "wallet"))  # read three times
+    return holders.features(trades, holders.token_balances(moves(spark, sf), "token"), "token")
 
 
 DEPLOYERS = "dep AS (SELECT p_partkey AS token, 'w' || (p_size % 50) AS deployer FROM part)"
