@@ -10,6 +10,7 @@ from tokentide.plans import domain as d
 from tokentide.plans.book import query
 from tokentide.plans.domain import with_tables
 from tokentide.plans.label_queries import FLAGGED, LABELLED
+from tokentide.sources.tables import written
 
 DAY = 86_400_000_000
 TIMED = "timed AS (SELECT call_id, token, epoch_us(message_date) AS t, min(epoch_us(message_date)) OVER (PARTITION BY token) AS ft FROM facts)"
@@ -105,7 +106,8 @@ TRADING = """trading AS (SELECT bucket, CAST(sum(runner) FILTER (top) AS BIGINT)
 
 @query(BASE + f", {TOPPED}, {TRADING} SELECT * FROM metrics")
 def trading_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return scorecard.trading_metrics(scored(spark, sf), "call_id", ["bucket"])
+    # scored once: both rankings read the rows more than once
+    return scorecard.trading_metrics(written(scored(spark, sf)), "call_id", ["bucket"])
 
 
 def _rates(group: str) -> str:
