@@ -34,3 +34,11 @@ def test_a_row_without_time_finds_nothing(spark):
     right = spark.createDataFrame([(7, 6, 60, 1)], "k long, t long, v long, n long")
     for forward, want in ((True, {1: None, 2: 60}), (False, {1: None, 2: None})):
         assert {r["id"]: r["v"] for r in as_of(left, right, "k", "at", "t", ["v"], "n", forward=forward).collect()} == want
+
+
+@given
+@pytest.mark.parametrize(("name", "reads"), [("holder_features", 1), ("trading_metrics", 0)])
+def test_shared_rows_are_made_once(spark, name, reads):
+    """What several branches read is a written table; only balances still read the transfers themselves."""
+    made = plan(registry.queries()[name](spark, DATA))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*\bl_", made)) == reads
