@@ -86,6 +86,18 @@ def test_near_copies_against_brute_force(spark):
     assert near_copies.similar_documents(docs.where("doc_id < 0")).count() == 0
 
 
+def test_trie_joins_the_closest_copies(spark, monkeypatch):
+    """Without any slot, copies with one word of some thousands changed are still found, by their fingerprints; others are not joined."""
+    rng = random.Random(8)
+    texts = {i: words(rng, 3000) for i in range(8)}
+    texts |= {i + 8: texts[i] + " end" for i in range(8)} | {16: "", 17: words(rng, 5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    none = spark.createDataFrame([], "u long, v long, cut boolean")
+    monkeypatch.setattr(near_copies, "candidates", lambda *_: none.select("u", "v"))
+    monkeypatch.setattr(near_copies, "strangers", lambda *_: none)
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.similar_documents(docs).collect()} == similar_brute(texts)
+
+
 def test_blocks_find_what_slots_leave(spark, monkeypatch):
     rng = random.Random(7)
     passage = words(rng, 200)

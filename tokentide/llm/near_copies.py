@@ -1,10 +1,13 @@
 """Near copies by SimHash where links are looser than a few bits: similarity of the sets of five-word shingles.
 
+The closest copies come first: the trie self-join of `simhash` finds fingerprints (64 bits) within its budget, and what it
+joins, and documents of equal fingerprints, are settled by the exact similarity of both whole texts.
+
 At similarity 0.8 some 15 % of the bits differ: a trie walk with such a budget prunes next to nothing, and blocks of bits
-no longer agree. So pairs are sought in slots: a document has BANDS of them, each a hash of five of its min-wise
-shingles, and two documents of similarity 0.8 share one with a probability of 0.9996. In a slot, documents are first held
-against the one with the smallest id by the differing bits of 256-bit fingerprints: one comparison each, whatever the
-size of the slot. Every candidate is settled by the exact similarity of both whole texts.
+no longer agree. So looser pairs are sought in slots: a document has BANDS of them, each a hash of five of its min-wise
+shingles, and two documents of similarity 0.8 share one with a probability of 0.9996. In a slot, documents that the trie's
+links do not join with it already are first held against the one with the smallest id by the differing bits of 256-bit
+fingerprints: one comparison each, whatever the size of the slot. Every such candidate is settled in the same way.
 
 Once these links are known, all pairs of a slot that they do not join are held against each other, in blocks, and those
 within the bit budget are settled too. Of a pair that no link joins, one document is outside the component that has most of
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 
 from tokentide.llm.common import in_pieces, materialise
 from tokentide.llm.components import components
+from tokentide.llm.simhash import near_links
 
 BANDS, ROWS = 20, 5
 BITS = 256
@@ -183,11 +187,22 @@ def strangers(classes: DataFrame, roots: DataFrame, loose: int, similarity: floa
     return met.applyInArrow(lambda rows: _hold(rows, loose, similarity, tries), "u long, v long, cut boolean").distinct()
 
 
-def candidates(classes: DataFrame, loose: int) -> DataFrame:
-    """Distinct pairs u > v of classes(rep, fingerprint, slots, ...): each document of a slot with its smallest, if similar enough by bits."""
-    rows = materialise(classes.select(F.explode("slots").alias("slot"), "rep", *FP))
-    crowded = materialise(rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", *FP)).alias("pivot")).where("n > 1").drop("n"))
-    met = rows.join(crowded.hint("merge"), "slot").where("rep <> pivot.rep").where(_differing() <= loose)
+def close_pairs(classes: DataFrame) -> DataFrame:
+    """Distinct pairs u > v of classes(rep, fingerprint, ...) that the trie self-join of the first 64 bits joins, or whose 64 bits are equal."""
+    firsts = materialise(classes.groupBy(F.col(FP[0]).alias("fp")).agg(F.min("rep").alias("first")))
+    equal = classes.join(firsts.hint("merge"), F.col(FP[0]) == F.col("fp")).where("rep > first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    links = materialise(near_links(firsts.select("fp")).distinct())
+    one, other = (firsts.select(F.col("fp").alias(end), F.col("first").alias(name)).hint("merge") for end, name in (("u", "a"), ("v", "b")))
+    near = links.join(one, "u").join(other, "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return equal.union(near).distinct()
+
+
+def candidates(classes: DataFrame, roots: DataFrame, loose: int) -> DataFrame:
+    """Distinct pairs u > v of classes(rep, fingerprint, slots, ...): each document of a slot with its smallest, if similar enough by bits and not joined by roots(node, root)."""
+    named = classes.select("rep", "slots", *FP).join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))
+    rows = materialise(named.select(F.explode("slots").alias("slot"), "rep", "root", *FP))
+    crowded = materialise(rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "root", *FP)).alias("pivot")).where("n > 1").drop("n"))
+    met = rows.join(crowded.hint("merge"), "slot").where("root <> pivot.root").where(_differing() <= loose)
     return met.select(F.col("rep").alias("u"), F.col("pivot.rep").alias("v")).distinct()
 
 
@@ -234,9 +249,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     first = [F.first(c).alias(c) for c in (*FP, "slots", "mins", "size")]
     classes = materialise(rows.groupBy("digest").agg(F.min(F.col(key).cast("long")).alias("rep"), *first).where("rep is not null"))
     loose = budget(similarity)
-    pairs = materialise(candidates(classes, loose))
-    roots = materialise(components(settle(pairs, docs, words, similarity, key, text)))
-    tested = pairs
+    tested = materialise(close_pairs(classes))
+    roots = components(settle(tested, docs, words, similarity, key, text))
+    looser = materialise(candidates(classes, roots, loose).join(tested.hint("merge"), ["u", "v"], "left_anti"))
+    links = settle(looser, docs, words, similarity, key, text)
+    roots = materialise(components(links.union(roots.select("node", "root"))))
+    tested = tested.union(looser)
     for tries in (FIRST_TRIES, ALL):
         found = materialise(strangers(classes, roots, loose, similarity, tries))
         more = materialise(found.where("not cut").select("u", "v").join(tested.hint("merge"), ["u", "v"], "left_anti"))
