@@ -6,7 +6,7 @@ import re
 import pytest
 
 from tokentide import registry
-from tokentide.operators import timing
+from tokentide.operators import chain, timing
 from tokentide.operators.asof import as_of
 
 DATA = "/root/testdata/sf0.001"
@@ -42,3 +42,20 @@ def test_shared_rows_are_made_once(spark, name, reads):
     """What several branches read is a written table; only balances still read the transfers themselves."""
     made = plan(registry.queries()[name](spark, DATA))
     assert len(re.findall(r"FileScan parquet \[[^\]]*\bl_", made)) == reads
+
+
+@given
+def test_liquidity_logs_are_read_and_decoded_once(spark):
+    """One scan for the logs and one for the transfers; the three words of a log's data are built in one place."""
+    made = plan(registry.queries()["liquidity_summary"](spark, DATA))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*\bl_", made)) == 2 and made.count("lpad(") <= 3
+
+
+def test_liquidity_of_transactions(spark):
+    """A deployer counts as paid only in a transaction with a removal, both up to the entry block; events without a transaction count, but pay nobody."""
+    events = spark.createDataFrame([(1, "a", 5, "remove"), (1, "b", 20, "remove"), (1, None, 6, "add"), (2, None, 5, "remove"), (2, "", 10, "remove"), (3, "c", 5, "add"), (4, "d", 10, "remove"), (5, "e", 30, "add"), (6, "f", 1, "collect")], "token long, tx string, block long, lp string")
+    transfers = spark.createDataFrame([(1, "a", 5, 7, 1.0), (1, "a", 5, 7, 2.0), (2, None, 5, 7, 1.0), (2, "", 5, 7, 1.0), (3, "c", 5, 7, 1.0), (4, "d", 9, 7, 0.0), (4, "d", 9, 9, 1.0), (5, "e", 1, 7, 1.0), (6, "f", 1, 7, 1.0)], "token long, tx string, block long, receiver long, value double")
+    deployers = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 7), (5, 7), (6, None)], "token long, deployer long")
+    entries = spark.createDataFrame([(k, 10) for k in range(1, 7)], "token long, entry_block long")
+    got = {tuple(r) for r in chain.liquidity_stats(events, transfers, deployers, entries).collect()}
+    assert got == {(1, 1, 1, 0, True, True), (2, 0, 2, 0, True, False), (3, 1, 0, 0, False, False), (4, 0, 1, 0, False, False), (6, 0, 0, 1, False, None)}

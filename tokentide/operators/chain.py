@@ -164,15 +164,19 @@ def counterparties(transfers: DataFrame, first_block: int, last_block: int) -> D
 
 
 def decode_liquidity(logs: DataFrame) -> DataFrame:
-    """logs with lp: add, remove or collect. A v3 burn of nothing is a collect; a v4 change counts by its sign."""
-    w0, w2 = word(F.col("data"), 0), word(F.col("data"), 2)
+    """logs with lp: add, remove or collect. A v3 burn of nothing is a collect; a v4 change counts by its sign.
+
+    The words are cut out by a generator of one row, so that no later use or filter of lp evaluates the log's data again.
+    """
+    cut = logs.withColumn("_words", F.explode(F.array(F.struct(word(F.col("data"), 0).alias("w0"), word(F.col("data"), 2).alias("w2")))))
+    w0, w2 = F.col("_words.w0"), F.col("_words.w2")
     mint, burn, collect = (F.col("event") == x for x in ("mint", "burn", "collect"))
     change = F.when(is_zero(w2), "collect").when(F.substring(w2, 1, 1) >= "8", "remove").when(w2.isNotNull(), "add")
     lp = (
         F.when((F.col("protocol") == "v4") & (F.col("event") == "modify"), change)
         .when(mint, "add").when((F.col("protocol") == "v3") & burn & is_zero(w0), "collect").when(burn, "remove").when((F.col("protocol") == "v3") & collect, "collect")
     )
-    return logs.withColumn("lp", lp).where("lp is not null")
+    return cut.withColumn("lp", lp).drop("_words").where("lp is not null")
 
 
 def liquidity_txs(events: DataFrame) -> DataFrame:
@@ -184,19 +188,27 @@ def liquidity_stats(events: DataFrame, transfers: DataFrame, deployers: DataFram
     """Adds, removals and collects up to the entry block, removal strictly before it, and whether the deployer was paid in one.
 
     deployer_removed: a positive transfer to the deployer, up to the entry block, in a transaction with a removal; null
-    where the deployer is unknown.
+    where the deployer is unknown. Events and transfers go to their token once, transactions are told apart there.
     """
-    seen = events.join(entries, token).where(F.col("block") <= F.col("entry_block"))
-    counts = seen.groupBy(token).agg(
-        *[F.count_if(F.col("lp") == k).alias(n) for k, n in (("add", "adds"), ("remove", "removes"), ("collect", "collects"))],
-        F.bool_or((F.col("lp") == "remove") & (F.col("block") < F.col("entry_block"))).alias("removed_before_entry"),
+    known = deployers.where("deployer is not null").groupBy(token).agg(F.collect_set("deployer").alias("_deployers"))
+    asked = entries.select(token, "entry_block").join(known.hint("merge"), token, "left")
+    nobody = F.lit(None).cast(transfers.schema["receiver"].dataType)
+    moves = events.select(token, "tx", "block", "lp", nobody.alias("receiver")).unionByName(
+        transfers.where("value > 0 and receiver is not null and tx is not null and tx <> ''").select(token, "tx", "block", F.lit(None).cast("string").alias("lp"), "receiver")
     )
-    removal = seen.where("lp = 'remove' and tx is not null and tx <> ''").select(token, "tx").distinct()
-    paid = transfers.where("value > 0").join(entries, token).where(F.col("block") <= F.col("entry_block"))
-    paid = paid.join(deployers.select(token, F.col("deployer").alias("receiver")), [token, "receiver"]).join(removal, [token, "tx"], "left_semi").select(token).distinct().withColumn("paid", F.lit(True))
-    known = deployers.where("deployer is not null").select(token).distinct().withColumn("known", F.lit(True))
-    joined = counts.join(paid, token, "left").join(known, token, "left")
-    return joined.select(token, "adds", "removes", "collects", "removed_before_entry", F.when(F.col("known"), F.coalesce("paid", F.lit(False))).alias("deployer_removed"))
+    met = moves.join(asked.hint("merge"), token).where(F.col("block") <= F.col("entry_block"))
+    met = met.where(F.col("lp").isNotNull() | F.array_contains("_deployers", F.col("receiver")))
+    removal = F.col("lp") == "remove"
+    txs = met.groupBy(token, "tx").agg(
+        *[F.count_if(F.col("lp") == k).alias(n) for k, n in (("add", "adds"), ("remove", "removes"), ("collect", "collects"))],
+        F.count("lp").alias("_n"), F.bool_or(removal & (F.col("block") < F.col("entry_block"))).alias("_before"),
+        F.bool_or(F.col("receiver").isNotNull()).alias("_paid"), F.bool_or(F.col("_deployers").isNotNull()).alias("_known"),
+    )
+    stats = txs.groupBy(token).agg(
+        *[F.sum(n).alias(n) for n in ("adds", "removes", "collects", "_n")], F.bool_or("_before").alias("removed_before_entry"),
+        F.coalesce(F.bool_or(F.col("_paid") & (F.col("removes") > 0) & (F.col("tx") != "")), F.lit(False)).alias("_paid"), F.bool_or("_known").alias("_known"),
+    )
+    return stats.where("_n > 0").select(token, "adds", "removes", "collects", "removed_before_entry", F.when(F.col("_known"), F.col("_paid")).alias("deployer_removed"))
 
 
 def block_times(events: DataFrame, known: DataFrame, stream: str, block: str = "block") -> DataFrame:
