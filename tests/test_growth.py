@@ -4,9 +4,10 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokentide import registry
-from tokentide.operators import chain, timing
+from tokentide.operators import chain, timing, verdicts
 from tokentide.operators.asof import as_of
 
 DATA = "/root/testdata/sf0.001"
@@ -59,3 +60,10 @@ def test_liquidity_of_transactions(spark):
     entries = spark.createDataFrame([(k, 10) for k in range(1, 7)], "token long, entry_block long")
     got = {tuple(r) for r in chain.liquidity_stats(events, transfers, deployers, entries).collect()}
     assert got == {(1, 1, 1, 0, True, True), (2, 0, 2, 0, True, False), (3, 1, 0, 0, False, False), (4, 0, 1, 0, False, False), (6, 0, 0, 1, False, None)}
+
+
+def test_report_texts_are_searched_once(spark):
+    """Each phrase is taken out of a text in one place, whatever the number of markers and uses."""
+    rows = spark.range(1).select("id", F.col("id").cast("string").alias("text"))
+    found = verdicts.text_verdict(rows, "text", ["red flag", "honeypot", "scam"], ["no red flag", "0 warnings"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Q0 warnings") == 1

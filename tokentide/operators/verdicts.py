@@ -21,9 +21,17 @@ def _quoted(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def no_zero_flags(text: Column) -> Column:
+    """text with counts of zero red flags as `no red flags`; only texts that speak of flags are searched for them."""
+    return F.when(F.lower(text).contains("flag"), F.regexp_replace(text, ZERO_FLAGS, "no red flags")).otherwise(text)
+
+
 def level_of(phrase: Column) -> Column:
     """clean, red_flags, caution, insufficient or unknown: the first of these that the phrase names; zero red flags are none."""
-    t = F.lower(F.regexp_replace(phrase, ZERO_FLAGS, "no red flags"))
+    return _named(F.lower(no_zero_flags(phrase)))
+
+
+def _named(t: Column) -> Column:
     return F.when(t.contains("no red flag"), "clean").when(t.contains("red flag"), "red_flags").when(t.contains("caution") | t.contains("warning"), "caution").when(t.contains(INSUFFICIENT), "insufficient").otherwise("unknown")
 
 
@@ -32,7 +40,7 @@ def without_phrases(text: Column, phrases: list[str]) -> Column:
     for p in phrases:
         before = f"(?<!{WORD_RUNE})" if p[0].isdigit() else ""
         after = f"(?!{WORD_RUNE})" if p[-1].isdigit() else ""
-        text = F.regexp_replace(text, before + _quoted(p) + after, " ")
+        text = F.when(text.contains(p), F.regexp_replace(text, before + _quoted(p) + after, " ")).otherwise(text)
     return text
 
 
@@ -40,12 +48,11 @@ def starts_with_marker(text: Column, marker: str) -> Column:
     """The marker stands in text (lower case) at the start of a word, not behind `non-`; one that begins with no letter or digit, anywhere."""
     if not re.match(r"[^\W_]", marker):
         return text.contains(marker)
-    return text.rlike(f"(?<!{WORD_RUNE})(?<!(?<!{WORD_RUNE})non-)" + _quoted(marker))
+    return text.contains(marker) & text.rlike(f"(?<!{WORD_RUNE})(?<!(?<!{WORD_RUNE})non-)" + _quoted(marker))
 
 
-def first_marker(text: Column, markers: list[str], safe: list[str]) -> Column:
-    """The first marker of the list that holds once the safe phrases are out; null without one. Markers and phrases in lower case."""
-    rest = without_phrases(F.lower(text), safe)
+def first_marker(rest: Column, markers: list[str]) -> Column:
+    """The first marker of the list that holds in a text in lower case without its safe phrases; null without one. Markers in lower case."""
     return F.coalesce(*[F.when(starts_with_marker(rest, m), F.lit(m)) for m in markers], F.lit(None).cast("string"))
 
 
@@ -56,8 +63,12 @@ def text_verdict(rows: DataFrame, text: str, markers: list[str], safe: list[str]
     names a flag; without either, a marker decides, and else the level is unknown (null texts too). The label is the marker
     that decided.
     """
-    plain = F.regexp_replace(F.col(text), ZERO_FLAGS, "no red flags")
-    found = rows.withColumns({"_phrase": F.when(F.col(text).isNotNull(), level_of(F.col(text))), "_marker": first_marker(plain, markers, safe)})
+    # each step's text is a column of its own: the next uses it many times
+    plain = rows.withColumn("_plain", F.lower(no_zero_flags(F.col(text))))
+    for k, p in enumerate(safe):
+        plain = plain.withColumn(f"_rest{k}", without_phrases(F.col(f"_rest{k - 1}" if k else "_plain"), [p]))
+    rest = F.col(f"_rest{len(safe) - 1}" if safe else "_plain")
+    found = plain.withColumns({"_phrase": F.when(F.col(text).isNotNull(), _named(F.col("_plain"))), "_marker": first_marker(rest, markers)})
     m, phrase = F.col("_marker"), F.coalesce("_phrase", F.lit("unknown"))
     named = level_of(m)
     of_marker = F.when(named != "unknown", named).when(m.isin(*SOFT), "caution").otherwise("red_flags")
