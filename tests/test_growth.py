@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokentide import registry
-from tokentide.operators import chain, timing, verdicts
+from tokentide.operators import chain, labels, timing, verdicts
 from tokentide.operators.asof import as_of
+from tokentide.plans import domain as d
+from tokentide.plans import model_queries
+from tokentide.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 given = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
@@ -67,3 +70,17 @@ def test_report_texts_are_searched_once(spark):
     rows = spark.range(1).select("id", F.col("id").cast("string").alias("text"))
     found = verdicts.text_verdict(rows, "text", ["red flag", "honeypot", "scam"], ["no red flag", "0 warnings"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Q0 warnings") == 1
+
+
+@given
+def test_labelled_calls_read_the_tables_once(spark, monkeypatch):
+    """Orders are read for their own flags and for what these leave, lines once; before, each of five uses made all facts three times."""
+    made, written = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df: made.append(plan(df)) or written(df))
+    rows = model_queries.labelled(spark, DATA)
+    assert sum(len(re.findall(r"FileScan parquet \[[^\]]*\bl_", p)) for p in made) == 1
+    assert sum(len(re.findall(r"FileScan parquet \[[^\]]*\bo_", p)) for p in made) == 2
+    facts = d.facts(spark, DATA)
+    usable = labels.build_labels(facts).where("usable_short").select("call_id", F.col("runner_short").alias("y"))
+    want = labels.features(facts).join(usable, "call_id").join(facts.select("call_id", "token", "message_date"), "call_id")
+    assert want.count() == rows.count() > 0 and want.exceptAll(rows.select(*want.columns)).count() == 0

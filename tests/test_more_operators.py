@@ -287,3 +287,28 @@ def test_weeks_are_fitted_at_once(spark, monkeypatch):
     assert len(got) == 1100 and {r["week"] for r in got.values()} == set(range(2, 13))
     assert max(abs(got[i]["prob"] - p) for i, p in want.items()) < 2e-3 and len(want) == 200
     assert all(got[i]["prob"] == 0 for i in range(100, 200))
+
+
+def test_folds_are_fitted_at_once(spark, monkeypatch):
+    """All folds and sets of inputs together give what a fit of each on its own rows gives; equal rows score alike, and a row without outcome is in no fit."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(900):
+        a, b = rng.gauss(0, 3), rng.expovariate(1) if rng.random() < 0.8 else None
+        rows.append((k, int(rng.random() < 1 / (1 + 2.7 ** (0.4 - 0.5 * a - (b or 1)))) if k % 100 else None, a, b if k % 50 != 7 else float("nan"), 5.0, k % 7))
+    rows += [(k, k % 2, 1.0, 2.0, 5.0, 3) for k in range(900, 960)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double, c double, d int")
+    sets, dealt, want = {"few": ["b", "c"], "all": ["b", "c", "a", "d"]}, df.withColumn("f", models.folds(F.col("id"), 3, 5)), {}
+    for name, columns in sets.items():
+        for i in range(3):
+            model = models.fit_baseline(dealt.where(f"f <> {i} and y is not null"), "y", columns)
+            want |= {(name, r["id"]): r["prob"] for r in models.scores(model, dealt.where(f"f = {i}"), columns, ["id"]).collect()}
+    monkeypatch.setattr(models, "fit_baseline", None)  # no fit for a single fold
+    got = models.out_of_folds(df, "y", sets, "id").join(dealt.select("id", "f"), "id").collect()
+    assert len(got) == 960 and sum(r["y"] is None for r in got) == 9 and len(want) == 1920
+    assert max(abs(r[n] - want[n, r["id"]]) for r in got for n in sets) < 2e-3
+    assert len({(r["f"], r["few"], r["all"]) for r in got if r["id"] >= 900}) == 3
+    one = models.out_of_fold(df.where("id = 1"), "y", ["a"], "id").first()
+    assert one["prob"] is None  # no row to fit on
+    alike = models.out_of_fold(df.where("id > 100 and y = 1"), "y", ["a", "b"], "id").agg(F.min("prob"), F.max("prob")).first()
+    assert tuple(alike) == (1.0, 1.0)
