@@ -1,11 +1,17 @@
 """Venue plans and holder rows against a replay of each call."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 from tests.holder_brute import check
 
 from tokentide.operators import holder_rows
+from tokentide.plans import holder_queries
 from tokentide.sources.tables import written
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("seed", [2, 3])
 def test_rows_equal_a_replay_of_each_call(spark, seed):
@@ -80,3 +86,9 @@ def test_cuts_of_a_token_with_many_calls(spark):
     rows = spark.createDataFrame([(t, b) for t in "tuv" for b in [*range(1010), None]], "token string, block long")
     got = {(r["token"], r["block"]): r["cut"] for r in holder_rows.with_cut(rows, holder_rows.runs(cuts)).collect()}
     assert got == {(t, b): sum(x < b for x in blocks) for t, blocks in asked.items() for b in range(blocks[-1] + 1)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
+def test_mints_are_made_by_many_tasks(spark):
+    moved = holder_queries.tables(spark, DATA)[1].where("tx = 'mint'")
+    assert moved.select(F.spark_partition_id()).distinct().count() > 4

@@ -30,12 +30,14 @@ def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     """calls, transfers, liquidity and pool ids."""
     part, line = d.read(spark, sf, "part"), d.read(spark, sf, "lineitem")
     fields = lambda df, sql: df.selectExpr(*_split(sql))
-    times = lambda n: part.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    times = lambda df, n: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     block = "unix_micros(cast(l_shipdate as timestamp)) div 86400000000 AS block"
     place = ["l_orderkey * 10 + l_linenumber AS idx", "cast(l_orderkey as string) AS tx"]
     moved = line.selectExpr(*_split("SELECT " + SIDES), block, *place)
-    minted = fields(times(53).where("p_partkey % 3 > 0"), MINTS)
-    return fields(times(2), STATES), moved.unionByName(minted), line.where("l_linenumber = 1").selectExpr(*_split("SELECT " + EVENT), block, *place), fields(times(2).where("p_partkey % 5 in (2, 3)"), IDS)
+    # a small file is one task, which would make all these rows
+    spread = part.select("p_partkey").where("p_partkey % 3 > 0").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    minted = fields(times(spread, 53), MINTS)
+    return fields(times(part, 2), STATES), moved.unionByName(minted), line.where("l_linenumber = 1").selectExpr(*_split("SELECT " + EVENT), block, *place), fields(times(part, 2).where("p_partkey % 5 in (2, 3)"), IDS)
 
 
 def _split(sql: str) -> list[str]:
